@@ -188,7 +188,7 @@ def line_dedup(
     ).select("key", "keeper")
     repeated = materialize(repeated, "repeated")
     lost = materialize(
-        found.join(repeated, "key").where("id <> keeper").groupBy("id").agg(F.collect_set("line").alias("lost")), "lost"
+        found.join(repeated.hint("merge"), "key").where("id <> keeper").groupBy("id").agg(F.collect_set("line").alias("lost")), "lost"
     )
     # Only documents that hold a suspect need the join; the others bypass the shuffle.
     marked = base.mapInArrow(
@@ -196,7 +196,8 @@ def line_dedup(
         f"id {kind}, body string, was_null boolean, rest {base.schema['rest'].dataType.simpleString()}, lines array<int>, keys array<binary>",
     ).select("id", "body", "was_null", "rest", ((F.size("lines") > 0) & F.col("id").isNotNull()).alias("dirty"))
     clean = marked.where("not dirty").withColumn("lost", F.lit(None).cast("array<int>"))
-    dirty = marked.where("dirty").join(lost, "id", "left")
+    # Always a shuffle join: a broadcast that fits small inputs would make cost jump with size.
+    dirty = marked.where("dirty").join(lost.hint("merge"), "id", "left")
     whole = clean.select("id", "body", "was_null", "rest", "lost").unionAll(
         dirty.select("id", "body", "was_null", "rest", "lost")
     )
