@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.embdedup import embedding_dedup
+from tidemark.llm.langid import identify_language
 from tidemark.llm.linededup import line_dedup
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngramjoin import ngram_join
 from tidemark.llm.pii import find_pii
+from tidemark.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,29 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _remainder(divisor: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    training = docs.where(_remainder(3) != 1)
+    found = identify_language(docs.select("doc_id", "text"), training)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return score_toxicity(docs, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -44,7 +65,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_pii": op2_pii,
+    "op3_language_id": op3_language_id,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_ngram_join": op7_ngram_join,
     "op8_line_dedup": op8_line_dedup,
 }

@@ -139,3 +139,45 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
     keep[bounds[:-1][np.diff(bounds) > 0]] = True
     kept = np.concatenate([[0], np.cumsum(keep)])
     return grams[keep], kept[bounds]
+
+
+def vocabulary(data: np.ndarray, offsets: np.ndarray):
+    """Distinct words of a buffer: their hashes (ascending), bytes (starts, ends), the id of every word, row bounds."""
+    starts, ends, row_words = word_bounds(data, offsets)
+    hashes, first, ids = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    return hashes, starts[first], ends[first], ids.reshape(-1), row_words
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Code points of the words, A-Z lower-cased, each preceded by one space, and a last space."""
+    sizes = ends - starts + 1
+    out = np.full(int(sizes.sum()) + 1, 32, np.uint8)
+    at = np.cumsum(sizes) - sizes + 1
+    total = int((sizes - 1).sum())
+    inner = np.arange(total) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1)
+    out[np.repeat(at, sizes - 1) + inner] = _LOWER[data[np.repeat(starts, sizes - 1) + inner]]
+    text = out.tobytes().decode("utf-8", "replace")
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def char_grams(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character n-grams of the words of ``word_points`` (their borders as spaces): hashes, word numbers, start positions."""
+    space = points == 32
+    spaces = np.flatnonzero(space)
+    count = len(points) - n + 1
+    if count <= 0 or len(spaces) < 2:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word = np.cumsum(space)[:count] - 1
+    at = np.arange(count)
+    ok = (word < len(spaces) - 1) & (at + n - 1 <= spaces[np.minimum(word + 1, len(spaces) - 1)])
+    if n == 1:
+        ok &= ~space[:count]
+    at = at[ok]
+    h = np.full(len(at), U64(n))
+    for k in range(n):
+        h = h * U64(_MULT) + points[at + k].astype(U64)
+    return mix64(h), word[ok], at
