@@ -14,6 +14,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.ngramjoin import ngram_join
 from tidemark.llm.pii import find_pii
 from tidemark.llm.toxicity import score_toxicity
+from tidemark.llm.urlfilter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
+    "op4_url_filter": op4_url_filter,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_join": op7_ngram_join,
