@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontam import mark_matches
 from tidemark.llm.embdedup import embedding_dedup
 from tidemark.llm.langid import identify_language
 from tidemark.llm.linededup import line_dedup
+from tidemark.llm.lmscore import score_documents
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngramjoin import ngram_join
 from tidemark.llm.pii import find_pii
@@ -67,6 +69,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = mark_matches(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", F.col("m.item").alias("item_id"), "m.score", "m.first_word", "m.end_word")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_pii": op2_pii,
@@ -76,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_ngram_join": op7_ngram_join,
     "op8_line_dedup": op8_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE: dict[str, str] = {

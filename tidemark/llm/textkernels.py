@@ -15,7 +15,7 @@ U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 #: Bytes of text handled at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,6 +31,11 @@ _BYTE_VALUE = mix64(np.arange(1, 257, dtype=U64))
 _BYTE_VALUE[65:91] = _BYTE_VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything but ASCII letters and digits and non-ASCII characters, for words without punctuation.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[128:] = False
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    PUNCTUATION[_a:_b] = False
 _powers: list[np.ndarray] = []
 
 
@@ -70,13 +75,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word and the index of each row's first word (length n+1)."""
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word and the index of each row's first word (length n+1); ``breaks`` flags separating bytes."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     start = solid.copy()
