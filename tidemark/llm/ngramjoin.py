@@ -34,11 +34,13 @@ from tidemark.llm.storage import drop, materialize, plan_bytes
 from tidemark.llm.textkernels import U64, shingle_sets, slices, utf8
 
 #: Shingles packed together by one task before they are sent out.
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 #: Bits of the broadcast filter of documents that stay (8 MB); a fuller one only lets more documents through.
 STAY_BITS = 1 << 26
 #: Rounds that compare with hubs before the exact rest.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 5
+#: Bits of the parity signature of a set; sets that differ in d shingles have signatures that differ in d bits at most.
+PARITY_BITS = 512
 
 
 def _send(width: int, bucket_bits: int, id_type: pa.DataType):
@@ -143,7 +145,7 @@ def _sum_up(id_type: pa.DataType):
 
 def _exact_sets(width: int, stay, id_type: pa.DataType):
     """Sets of the documents whose bit is set in the filter."""
-    schema = pa.schema([("id", id_type), ("n", pa.int32()), ("sig", pa.binary()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", id_type), ("n", pa.int32()), ("sig", pa.binary()), ("parity", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = stay.value
@@ -154,12 +156,16 @@ def _exact_sets(width: int, stay, id_type: pa.DataType):
             data, offsets = utf8(chosen.column(1))
             for lo, hi in slices(offsets):
                 grams, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
+                bit = np.repeat(np.arange(hi - lo), np.diff(bounds)) * PARITY_BITS + (grams >> U64(55)).astype(np.int64)
+                odd = (np.bincount(bit, minlength=(hi - lo) * PARITY_BITS) & 1).astype(np.uint8)
+                parity = pa.array(np.packbits(odd).view(np.int64))
                 pairs = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         chosen.column(0).slice(lo, hi - lo),
                         pa.array(np.diff(bounds), pa.int32()),
                         pa.array([hashlib.sha256(grams[a:b].tobytes()).digest()[:16] for a, b in pairs], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * (PARITY_BITS // 64), pa.int32()), parity),
                         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(grams.view(np.int64))),
                     ],
                     schema=schema,
@@ -200,10 +206,10 @@ def class_links(classes: DataFrame) -> DataFrame:
     freq = materialize(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "freq")
     ranked = grams.join(freq, "g").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("ranked"))
     items = (
-        classes.select("rep", "n")
+        classes.select("rep", "n", "parity")
         .join(ranked, "rep")
         .where("4 * size(ranked) >= 3 * n")
-        .select("rep", "n", F.col("ranked.g").alias("toks"))
+        .select("rep", "n", "parity", F.col("ranked.g").alias("toks"))
         # Tokens of one class only come first and match nothing: what remains of the prefix starts after them.
         .withColumn("prefix", F.expr("slice(toks, 1, size(toks) - cast(ceil(3 * n / 4) as int) + 1)"))
         .withColumn("gkey", F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>")), 256))
@@ -214,20 +220,21 @@ def class_links(classes: DataFrame) -> DataFrame:
     groups = materialize(groups, "groups")
     first = items.join(groups.select("gkey", "leader"), "gkey").where("rep <> leader")
     links = materialize(_verified(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")), items), "inner")
-    # (token, member of the index, size, tokens before this one), for groups and for all their members
-    spot = lambda of, who: of.select(
-        F.col(who).alias("who"), "n", (F.col("n") - F.size(toks)).alias("alone") if (toks := "toks") in of.columns else F.lit(0).alias("alone"), F.posexplode("prefix").alias("k", "g")
-    )
     labels = components(links)
     for round_no in range(HUB_ROUNDS):
-        post = spot(groups, "leader").join(labels.withColumnRenamed("node", "who"), "who", "left").select(
-            "g", "who", "n", F.coalesce("component", "who").alias("comp")
-        )
-        turn = F.xxhash64(F.lit(round_no), "who")
-        hubs = post.groupBy("g").agg(
-            F.min("comp").alias("least"), F.max("comp").alias("most"), F.min(F.struct(turn.alias("turn"), "who", "n", "comp")).alias("hub")
-        )
-        hubs = materialize(hubs.where("least <> most").select("g", "hub.who", "hub.n", "hub.comp").toDF("g", "a", "na", "ca"), "hubs")
+        # Round 0 compares groups by their leaders; later rounds expand the groups into members.
+        who = groups.select(F.col("leader").alias("who"), "n", "prefix") if round_no == 0 else items.select(F.col("rep").alias("who"), "n", "prefix")
+        post = (
+            who.select("who", "n", F.explode("prefix").alias("g"))
+            .join(labels.withColumnRenamed("node", "who"), "who", "left")
+            .select("g", "who", "n", F.coalesce("component", "who").alias("comp"))
+        )
+        # First one hub for as many lists as possible; then, per list, a random member of its largest component.
+        turn = F.xxhash64("who") if round_no == 0 else F.xxhash64(F.lit(round_no), "g", "who")
+        parts = post.groupBy("g", "comp").agg(F.count("*").alias("size"), F.min(F.struct(turn.alias("turn"), "who", "n")).alias("hub"))
+        best = F.max(F.struct(F.lit(0) - F.col("hub.turn") / 2 if round_no == 0 else F.col("size"), "hub.who", "hub.n", "comp"))
+        hubs = parts.groupBy("g").agg(F.count("*").alias("parts"), best.alias("hub")).where("parts > 1")
+        hubs = materialize(hubs.select("g", "hub.who", "hub.n", "hub.comp").toDF("g", "a", "na", "ca"), "hubs")
         pairs = (
             post.join(hubs, "g").where("comp <> ca")
             .select("a", F.col("who").alias("b"), "na", F.col("n").alias("nb")).where(_SIZES_FIT)
@@ -240,18 +247,24 @@ def class_links(classes: DataFrame) -> DataFrame:
         links = links.unionAll(found)
         labels = components(links)
     # The rest, member by member: prefix shingles that still lie in more than one component.
-    post = spot(items, "rep").join(labels.withColumnRenamed("node", "who"), "who", "left").select(
-        "g", "who", "n", (F.col("alone") + F.col("k")).alias("k"), F.coalesce("component", "who").alias("comp")
-    )
-    open_ = materialize(post.groupBy("g").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("g"), "open")
+    post = (
+        items.select("rep", "n", "parity", (F.col("n") - F.size("toks")).alias("alone"), F.posexplode("prefix").alias("k", "g"))
+        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("g", "rep", "n", "parity", (F.col("alone") + F.col("k")).alias("k"), F.coalesce("component", "rep").alias("comp"))
+    )
+    open_ = post.groupBy("g").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("g")
+    open_ = materialize(open_, "open")
     post = materialize(post.join(open_, "g", "left_semi"), "rest")
     drop(open_)
-    side = lambda x: post.select("g", *[F.col(c).alias(d + x) for c, d in (("who", ""), ("n", "n"), ("k", "k"), ("comp", "c"))])
+    side = lambda x, who: post.select("g", F.col("rep").alias(who), *[F.col(c).alias(c + x) for c in ("n", "k", "comp", "parity")])
+    # Jaccard >= 3/4 needs 3/7 of the summed sizes in common, so at most 1/7 of it differs.
     need = F.ceil((F.col("na") + F.col("nb")) * 3 / 7)
+    differ = sum((F.bit_count(F.col("paritya")[i].bitwiseXOR(F.col("parityb")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
     pairs = (
-        side("a").join(side("b"), "g")
-        .where("ca < cb").where(_SIZES_FIT)
+        side("a", "a").join(side("b", "b"), "g")
+        .where("compa < compb").where(_SIZES_FIT)
         .where(F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= need)
+        .where(differ * 7 <= F.col("na") + F.col("nb"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     found = materialize(_verified(pairs, items), "found")
@@ -278,10 +291,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = counts.where("n > 0 and 4 * shared >= 3 * n and id is not null")
     chosen = spark.sparkContext.broadcast(_filter_of(stay, STAY_BITS))
     sets = base.where("id is not null").select("id", "body", F.pmod(F.xxhash64("id"), F.lit(STAY_BITS)).alias("at"))
-    sets = sets.mapInArrow(_exact_sets(width, chosen, id_type), f"id {kind}, n int, sig binary, grams array<long>")
+    sets = sets.mapInArrow(_exact_sets(width, chosen, id_type), f"id {kind}, n int, sig binary, parity array<long>, grams array<long>")
     sets = materialize(sets.where("n > 0"), "sets")
-    classes = sets.groupBy("sig").agg(F.min(F.struct("id", "n", "grams")).alias("x"))
-    classes = materialize(classes.select("sig", F.col("x.id").alias("rep"), "x.n", "x.grams"), "classes")
+    classes = sets.groupBy("sig").agg(F.min(F.struct("id", "n", "parity", "grams")).alias("x"))
+    classes = materialize(classes.select("sig", F.col("x.id").alias("rep"), "x.n", "x.parity", "x.grams"), "classes")
     links = class_links(classes)
     labels = components(links)
     reps = materialize(classes.select("sig", "rep"), "reps")
