@@ -29,7 +29,7 @@ def time_range(df: DataFrame, ts: str, start: str | None = None, end: str | None
 
 def without_nan(df: DataFrame, column: str) -> DataFrame:
     """Rows whose value is neither NaN nor null."""
-    return df.where(~F.isnan(f"`{column}`"))
+    return df.where(~F.isnan(f"`{column}`") & F.col(f"`{column}`").isNotNull())
 
 
 def in_time_order(df: DataFrame, ts: str, ties: list[str]) -> DataFrame:
