@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkernels import PUNCTUATION, U64, slices, span_hashes, utf8, window_hashes, word_bounds
+from tidemark.llm.textkernels import PUNCTUATION, U64, distinct, slices, span_hashes, utf8, window_hashes, word_bounds
 
 GRAM = 3
 MIN_WORDS, MIN_SEEDS = 8, 8
@@ -128,7 +128,7 @@ def _frequencies(shared):
                 _, _, grams, _, gram_bounds = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 at, known = items.find(grams)
                 row = np.searchsorted(gram_bounds, at, "right") - 1
-                pair = np.unique(row * max(len(items.known), 1) + known)
+                pair = distinct(row * max(len(items.known), 1) + known)
                 count += np.bincount(pair % max(len(items.known), 1), minlength=len(items.known))
             full = np.flatnonzero(count)
             yield pa.RecordBatch.from_pydict({"gram": pa.array(full, pa.int64()), "docs": pa.array(count[full])})

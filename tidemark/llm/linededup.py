@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize, plan_bytes
-from tidemark.llm.textkernels import U64, slices, span_hashes, utf8
+from tidemark.llm.textkernels import U64, distinct, slices, span_hashes, utf8
 
 PAGES = 64
 
@@ -81,8 +81,8 @@ def _partial_filters(bits: int, min_chars: int, text_at: int = 0):
             new_hash[1:] = hashes[1:] != hashes[:-1]
             again = np.zeros(len(hashes), bool)
             again[1:] = ~new_hash[1:] & (rows[1:] != rows[:-1])
-            once = np.unique(np.concatenate(filter_positions(hashes[new_hash], bits)))
-            twice = np.unique(np.concatenate(filter_positions(hashes[again], bits)))
+            once = distinct(np.concatenate(filter_positions(hashes[new_hash], bits)))
+            twice = distinct(np.concatenate(filter_positions(hashes[again], bits)))
             out: dict[str, list] = {"page": [], "once": [], "twice": []}
             for page in range(PAGES):
                 cut = [np.searchsorted(x, [page * page_bits, (page + 1) * page_bits]) for x in (once, twice)]

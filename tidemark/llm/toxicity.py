@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import drop, materialize
-from tidemark.llm.textkernels import U64, char_grams, slices, utf8, vocabulary, word_points
+from tidemark.llm.textkernels import U64, char_grams, distinct, slices, utf8, vocabulary, word_points
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -39,14 +39,14 @@ def _word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     points = word_points(data, starts, ends)
     grams, words, _ = zip(*(char_grams(points, n) for n in SIZES), strict=True)
     key = np.concatenate(words).astype(np.int64) * BUCKETS + (np.concatenate(grams) & U64(BUCKETS - 1)).astype(np.int64)
-    key = np.unique(key)
+    key = distinct(key)
     return key // BUCKETS, key % BUCKETS
 
 
 def _rows_of_words(ids: np.ndarray, row_words: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, word) of every distinct word of each row."""
     rows = np.repeat(np.arange(len(row_words) - 1), np.diff(row_words))
-    key = np.unique(rows * max(n_words, 1) + ids)
+    key = distinct(rows * max(n_words, 1) + ids)
     return key // max(n_words, 1), key % max(n_words, 1)
 
 
