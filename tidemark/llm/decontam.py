@@ -171,7 +171,7 @@ def _match(shared, threshold: float, item_type: pa.DataType):
                 hits = hits[np.lexsort((hits[:, 2] - hits[:, 3], hits[:, 1], hits[:, 0]))]
                 cut = np.flatnonzero(np.diff(hits[:, 0], prepend=-1))
                 spots = []
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(hits)], strict=True):
+                for a, b in zip(cut.tolist(), np.append(cut, len(hits))[1:].tolist(), strict=True):
                     r = int(hits[a, 0])
                     spots += [(r, *x) for x in _windows(items, r, hits[a:b, 1:], int(bounds[r]), int(bounds[r + 1]))]
                 scores = align([words[a:b] for _, _, a, b in spots], [items.words[i] for _, i, _, _ in spots])
