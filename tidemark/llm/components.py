@@ -43,3 +43,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not changed:
             drop(both)
             return labels.select("node", "component")
+
+
+def merge_links(labels: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Labels (node, component) after more ``links``: only the graph of components is solved, not that of nodes.
+
+    ``labels`` must give each component its smallest node, as ``components`` does; new nodes may come with ``links``.
+    """
+    ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    lifted = ends.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    joined = components(lifted).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    every = labels.unionAll(ends.select("a", "a")).unionAll(ends.select("b", "b"))
+    every = every.groupBy("node").agg(F.min("component").alias("component"))
+    return materialize(every.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels")

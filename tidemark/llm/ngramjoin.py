@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, merge_links
 from tidemark.llm.storage import drop, materialize, plan_bytes
 from tidemark.llm.textkernels import U64, shingle_sets, slices, utf8
 
@@ -200,8 +200,8 @@ def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
 _SIZES_FIT = "4 * least(na, nb) >= 3 * greatest(na, nb)"
 
 
-def class_links(classes: DataFrame) -> DataFrame:
-    """From (rep, n, grams) of distinct sets: links (a, b) that connect each component of the similarity graph."""
+def class_components(classes: DataFrame) -> DataFrame:
+    """From (rep, n, parity, grams) of distinct sets: (node, component) of every rep that links with another."""
     grams = classes.select("rep", F.explode("grams").alias("g"))
     freq = materialize(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "freq")
     ranked = grams.join(freq, "g").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("ranked"))
@@ -244,8 +244,7 @@ def class_links(classes: DataFrame) -> DataFrame:
         drop(hubs)
         if not found.limit(1).count():
             break
-        links = links.unionAll(found)
-        labels = components(links)
+        labels = merge_links(labels, found)
     # The rest, member by member: prefix shingles that still lie in more than one component.
     post = (
         items.select("rep", "n", "parity", (F.col("n") - F.size("toks")).alias("alone"), F.posexplode("prefix").alias("k", "g"))
@@ -269,7 +268,7 @@ def class_links(classes: DataFrame) -> DataFrame:
     )
     found = materialize(_verified(pairs, items), "found")
     drop(post, items, groups)
-    return links.unionAll(found)
+    return merge_links(labels, found)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -295,8 +294,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(sets.where("n > 0"), "sets")
     classes = sets.groupBy("sig").agg(F.min(F.struct("id", "n", "parity", "grams")).alias("x"))
     classes = materialize(classes.select("sig", F.col("x.id").alias("rep"), "x.n", "x.parity", "x.grams"), "classes")
-    links = class_links(classes)
-    labels = components(links)
+    labels = class_components(classes)
     reps = materialize(classes.select("sig", "rep"), "reps")
     drop(classes)
     of_class = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
