@@ -97,7 +97,7 @@ def source_weights(totals: DataFrame, budget: int | None, entropy_share: float,
     norm = totals.agg(F.sum(F.exp(F.lit(a) * log_share))).first()[0]
     weight = F.exp(F.lit(a) * log_share) / F.lit(norm)
     return totals.select(
-        "source", "tokens", weight.alias("weight"), F.floor(weight * F.lit(budget)).cast("long").alias("budget")
+        "source", "tokens", weight.alias("weight"), F.floor(weight * F.lit(budget) + 0.5).cast("long").alias("budget")
     )
 
 

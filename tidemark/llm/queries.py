@@ -92,7 +92,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
 }
 
+def _mix_sql(seed: int = 17, blocks: int = 1024, entropy_share: float = 0.95, repeats: float = 4.0, steps: int = 60) -> str:
+    """Exponent by bisection in recursive CTEs, then the same keyed permutations."""
+    key = lambda *what: f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(what)})), 1, 8))::BIGINT"
+    words = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+    entropy = lambda a: f"(SELECT ln(sum(exp({a} * ls))) - sum(exp({a} * ls) * {a} * ls) / sum(exp({a} * ls)) FROM t)"
+    most = lambda a: f"(SELECT max(exp({a} * ls) / tokens) / sum(exp({a} * ls)) * any_value(total) FROM t)"
+    mid = "(lo + hi) / 2"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, {words}::BIGINT AS n_tokens,
+  {key("'block'", "coalesce(doc_id::VARCHAR, '')")} % {blocks} AS block FROM documents),
+b AS MATERIALIZED (SELECT source, block, sum(n_tokens)::BIGINT AS size FROM d GROUP BY source, block),
+s AS (SELECT source, sum(size)::BIGINT AS tokens FROM b GROUP BY source HAVING sum(size) > 0),
+t AS MATERIALIZED (SELECT *, sum(tokens) OVER ()::BIGINT AS total, ln(tokens / (sum(tokens) OVER ())::DOUBLE) AS ls, count(*) OVER () AS n FROM s),
+goal AS (SELECT CASE WHEN max(n) > 1 THEN {entropy_share} * ln(max(n)) ELSE 0 END AS target FROM t),
+e(k, lo, hi) AS (SELECT 0, 0::DOUBLE, 1::DOUBLE UNION ALL
+  SELECT k + 1, CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END
+  FROM (SELECT k, lo, hi, {mid} AS mid, {entropy(mid)} >= (SELECT target FROM goal) AS good FROM e WHERE k < {steps})),
+a1 AS (SELECT CASE WHEN {entropy('1.0')} >= (SELECT target FROM goal) THEN 1.0::DOUBLE ELSE (SELECT lo FROM e WHERE k = {steps}) END AS a),
+r(k, lo, hi) AS (SELECT 0, 1::DOUBLE, a FROM a1 UNION ALL
+  SELECT k + 1, CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END
+  FROM (SELECT k, lo, hi, {mid} AS mid, {most(mid)} <= {repeats} AS good FROM r WHERE k < {steps})),
+a2 AS MATERIALIZED (SELECT CASE WHEN {most('a')} <= {repeats} THEN a WHEN {most('1.0')} <= {repeats} THEN (SELECT lo FROM r WHERE k = {steps}) ELSE 1.0 END AS a FROM a1),
+w AS (SELECT source, tokens, floor(exp(a * ls) / sum(exp(a * ls)) OVER () * total + 0.5)::BIGINT AS budget FROM t, a2),
+p AS (SELECT source, budget // tokens AS whole, budget % tokens AS part FROM w),
+o AS (SELECT b.*, row_number() OVER q AS block_rank, coalesce(sum(size) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM b WINDOW q AS (PARTITION BY source ORDER BY {key("'order'", "coalesce(source, '')", "block::VARCHAR")}, block)),
+x AS (SELECT d.*, block_rank, whole, part - before AS left_, size,
+    sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY {key("'row'", "coalesce(d.doc_id::VARCHAR, '')")}, d.doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS spent
+  FROM d JOIN o ON d.block = o.block AND d.source IS NOT DISTINCT FROM o.source JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+c AS (SELECT *, whole + CASE WHEN left_ <= 0 THEN 0 WHEN left_ >= size THEN 1 WHEN spent <= left_ THEN 1 ELSE 0 END AS copies FROM x)
+SELECT doc_id, source, n_tokens, unnest(range(copies::BIGINT)) AS epoch, block_rank::INTEGER AS block_rank FROM c"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_mix": _mix_sql(),
     "op5_embedding_dedup": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
