@@ -75,16 +75,26 @@ def _one_to_one() -> dict[int, str]:
 _CHARS = _one_to_one()
 _ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_AT = r"\s*(?:[\[({<]\s*(?:at|arroba|@)\s*[\])}>]|&#(?:64|x40);|&commat;)\s*"
+# Last labels of domains that may stand apart from their dot, and letters that pass for digits.
+_TOP = "com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|it|nl|uk|us|ch|at|ca"
+_DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1", "S": "5", "B": "8", "Z": "2"}
+_LETTER_DIGIT = f"[0-9{''.join(_DIGIT_LETTERS)}]"
+_AT = r"\s*(?:[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]|&#(?:64|x40);|&commat;|(?<=\w)%40(?=\w))\s*"
 _DOT = r"\s*(?:[\[({<]\s*(?:dot|punto|punkt|point|\.)\s*[\])}>]|&#(?:46|x2e);|&period;)\s*"
+_GAP = r"(?:\s+|\s*[_*|~-]{1,3}\s*)"
+_BARE_AT, _BARE_DOT = rf"{_GAP}(?:at|arroba|arobase){_GAP}", rf"{_GAP}(?:dot|punto|punkt){_GAP}"
+_LABEL = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*?"
 _REWRITE = re.compile(
     rf"(?P<zero>[{_ZERO_WIDTH}]+)|(?P<at>{_AT})|(?P<dot>{_DOT})"
     rf"|(?P<digits>(?<!\w)(?:(?:plus\s+)|\+\s*)?(?:{_WORD}|[0-9]+)(?:(?:\s*[,-]\s*|\s+)(?:{_WORD}|[0-9]+)){{3,}}(?!\w))"
-    r"|(?P<bare>(?<![\w.%+-])[\w.%+-]+\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+|\.[\w-]+)*\s+dot\s+[A-Za-z]{2,}(?:\s+dot\s+[A-Za-z]{2,})*(?![\w-]))"
-    r"|(?P<dots>(?<!\w)[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?!\w))",
+    rf"|(?P<bare>(?<![\w.%+-])[\w.%+-]+?{_BARE_AT}{_LABEL}(?:(?:{_BARE_DOT}|\.){_LABEL})*?{_BARE_DOT}[A-Za-z]{{2,}}(?:{_BARE_DOT}[A-Za-z]{{2,}})*(?![\w-]))"
+    rf"|(?P<wide>(?<![\w.%+-])[\w.%+-]+\s*@\s*{_LABEL}(?:\s*\.\s*{_LABEL})*?\s*\.\s*(?:{_TOP})(?!\w))"
+    r"|(?P<dots>(?<!\w)[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?!\w))"
+    rf"|(?P<mixed>(?<![\w+])\+?{_LETTER_DIGIT}(?:[\s().-]{{0,2}}{_LETTER_DIGIT}){{6,}}(?!\w))",
     re.IGNORECASE,
 )
-_BARE = re.compile(r"\s+(at|dot)\s+", re.IGNORECASE)
+_BARE = re.compile(rf"{_GAP}(at|arroba|arobase|dot|punto|punkt){_GAP}", re.IGNORECASE)
+_WIDE = re.compile(r"\s*([@.])\s*")
 _DIGIT_TOKEN = re.compile(rf"(?P<plus>plus\s+|\+\s*)|(?P<word>{_WORD})|(?P<num>[0-9]+)", re.IGNORECASE)
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.IGNORECASE)
 
@@ -103,7 +113,9 @@ def _class(chars: list[int]) -> str:
 _TRIGGER = (
     rf"(?i)[{_class([*_CHARS, *map(ord, _ZERO_WIDTH)])}]"
     r"|[\[({<]\s*(?:at|arroba|@|dot|punto|punkt|point|\.)\s*[\])}>]|&#(?:64|x40|46|x2e);|&commat;|&period;|\sdot\s"
+    r"|\w%40\w|[\s_*|~-](?:dot|punto|punkt)[\s_*|~-]|\w\s+@|@\s+\w|@\w+\s+\."
     rf"|(?:^|\W)(?:{_WORD}|[0-9]+)(?:(?:\s*[,-]\s*|\s+)(?:{_WORD}|[0-9]+)){{3}}"
+    rf"|[0-9][\s().-]{{0,2}}(?-i:[{''.join(_DIGIT_LETTERS)}])[\s().-]{{0,2}}[0-9]|(?:^|\W)(?-i:[{''.join(_DIGIT_LETTERS)}])+[0-9]|[0-9](?-i:[{''.join(_DIGIT_LETTERS)}])+(?:\W|$)"
 )
 
 Span = tuple[int, int]
@@ -157,6 +169,12 @@ def plain_spans(text: str) -> dict[str, list[Span]]:
     }
 
 
+def _mostly_digits(text: str) -> bool:
+    """Some letters pass for digits in it, but at least half of its signs are digits."""
+    digits, letters = sum("0" <= c <= "9" for c in text), sum(c in _DIGIT_LETTERS for c in text)
+    return 0 < letters <= digits
+
+
 class Normalised:
     """A rewritten text and, for each piece, where it came from."""
 
@@ -185,6 +203,8 @@ class Normalised:
             kind = m.lastgroup
             if kind == "digits" and not _SPELLED.search(m[0]):
                 continue
+            if kind == "mixed" and not _mostly_digits(m[0]):
+                continue
             copy(done, m.start())
             if kind == "zero":
                 put("", m.start(), m.end() - m.start())
@@ -199,11 +219,17 @@ class Normalised:
                         put(_DIGIT_WORDS[t[0].lower()], a, t.end() - t.start())
                     else:
                         copy(a, a + len(t[0]))
+            elif kind == "mixed":
+                for i, c in enumerate(m[0], m.start()):
+                    if c in _DIGIT_LETTERS:
+                        put(_DIGIT_LETTERS[c], i, 1)
+                    else:
+                        copy(i, i + 1)
             else:
                 inner = m.start()
-                for t in _BARE.finditer(m[0]):
+                for t in (_WIDE if kind == "wide" else _BARE).finditer(m[0]):
                     copy(inner, m.start() + t.start())
-                    put("@" if t[1].lower() == "at" else ".", m.start() + t.start(), len(t[0]))
+                    put("@" if t[1].lower() in ("@", "at", "arroba", "arobase") else ".", m.start() + t.start(), len(t[0]))
                     inner = m.start() + t.end()
                 copy(inner, m.end())
             done = m.end()
