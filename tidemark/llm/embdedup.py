@@ -2,8 +2,10 @@
 
 Vectors of one label are dealt into shards of bounded size; each shard becomes one graph, written to the shared
 folder as a row. Queries are all vectors, in bounded blocks; every block meets every shard of its label. In
-each meeting the beam widens until an audit against brute force, on evenly spaced queries of the block, passes;
-a query whose whole beam consists of links may have more, so its beam widens further and at last an exact scan of
+each meeting the beam widens until an audit against brute force, on evenly spaced queries of the block, passes (links and
+nearest ten);
+a query half of whose beam are links may have more, and one that does not find itself in its own shard was led
+astray, so their beams widen further and at last an exact scan of
 the shard replaces it. Similarities are verified in double precision. A meeting returns each query's link
 count and a spanning forest of its links, never all pairs; the forests are united by ``components``.
 
@@ -30,8 +32,8 @@ from tidemark.llm.storage import drop, materialize
 #: Vectors in a shard and in a block of queries at most (about; they are dealt by hash).
 SHARD_VECTORS = 16_384
 BLOCK_VECTORS = 4_096
-#: Share of true links that an audit must find, its queries per meeting, and the widest beam before exact scans.
-AUDIT_RECALL = 0.99
+#: Shares of true links and of the nearest ten that an audit must find, its queries per meeting, the widest beam before exact scans.
+AUDIT_RECALL, AUDIT_NEAREST = 0.99, 0.9
 AUDIT_QUERIES = 64
 WIDEST_BEAM = 256
 
@@ -55,14 +57,23 @@ def _pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "block": [key[2]], "queries": [blob]})
 
 
-def find_links(graph: SmallWorld, base: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row in ``q`` and row in ``base`` of every pair found with a double-precision cosine >= threshold."""
+def find_links(
+    graph: SmallWorld, base: np.ndarray, q: np.ndarray, threshold: float, own: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row in ``q`` and row in ``base`` of every pair found with a double-precision cosine >= threshold.
+
+    ``own`` gives the row in ``base`` of a query that is in the shard itself, else -1: a query that does not find itself
+    was led astray (a dense group can fill its beam) and is repeated with a wider beam.
+    """
+    own = np.full(len(q), -1) if own is None else own
     low = threshold - 1e-4  # graph similarities are single precision
     q32, n = q.astype(np.float32), len(base)
     exact = lambda rows: np.concatenate([np.zeros((0, n), np.float32), *(q32[rows[i : i + 512]] @ graph.x.T for i in range(0, len(rows), 512))])
     audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_QUERIES, len(q))).astype(int))
-    truth = (exact(audit) >= low).sum(1)
-    beam, todo = 32, np.arange(len(q))
+    true_sims = exact(audit)
+    truth = (true_sims >= low).sum(1)
+    tenth = np.sort(true_sims, axis=1)[:, -min(10, n)] - 1e-6
+    beam, todo = 48, np.arange(len(q))
     out_q, out_b = [], []
     while len(todo):
         if beam > WIDEST_BEAM or beam >= n:
@@ -73,11 +84,12 @@ def find_links(graph: SmallWorld, base: np.ndarray, q: np.ndarray, threshold: fl
             break
         ids, sims = graph.search(q32[todo], beam)
         hit = (sims >= low) & (ids >= 0)
-        full = hit.all(1)
+        full = (2 * hit.sum(1) >= beam) | ((own[todo] >= 0) & ~(ids == own[todo][:, None]).any(1))
         at = np.isin(todo, audit)
         settled = at & ~full
-        wanted = truth[np.searchsorted(audit, todo[settled])].sum()
-        if hit[settled].sum() < AUDIT_RECALL * wanted:
+        of = np.searchsorted(audit, todo[settled])
+        nearest = (sims[settled][:, :10] >= tenth[of, None]).sum()
+        if hit[settled].sum() < AUDIT_RECALL * truth[of].sum() or nearest < AUDIT_NEAREST * settled.sum() * min(10, n):
             beam *= 2
             continue
         r, c = np.nonzero(hit & ~full[:, None])
@@ -114,7 +126,9 @@ def _meet(threshold: float):
             for shard, block in zip(batch.column(0), batch.column(1), strict=True):
                 base_ids, raw, graph = pickle.loads(shard.as_py())
                 ids, vectors = pickle.loads(block.as_py())
-                r, c = find_links(graph, unit(raw), unit(vectors), threshold)
+                at = np.minimum(np.searchsorted(base_ids, ids), len(base_ids) - 1)
+                own = np.where(base_ids[at] == ids, at, -1)
+                r, c = find_links(graph, unit(raw), unit(vectors), threshold, own)
                 a, b = ids[r], base_ids[c]
                 a, b = a[a != b], b[a != b]
                 if not len(a):

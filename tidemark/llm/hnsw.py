@@ -33,6 +33,32 @@ class SmallWorld:
             size = min(BATCH, max(8, done), n - done)
             self._insert(rest[done : done + size])
             done += size
+        self._reconnect()
+
+    def _reachable(self) -> np.ndarray:
+        """Which nodes a search of the bottom layer can reach, from the entry and from all nodes of upper layers."""
+        seen = self.level > 0
+        seen[self.entry] = True
+        edge = np.flatnonzero(seen)
+        while len(edge):
+            near = self.adjacent[0][edge].ravel()
+            near = near[near >= 0]
+            near = near[~seen[near]]
+            seen[near] = True
+            edge = np.flatnonzero(np.bincount(near, minlength=len(seen)))
+        return seen
+
+    def _reconnect(self) -> None:
+        """Links that pruning cut: every unreachable node gets an edge from the nearest node that a search finds."""
+        while len(self.x) > 1:
+            lost = np.flatnonzero(~self._reachable())
+            if not len(lost):
+                return
+            ids, _ = self.search(self.x[lost], 4)
+            source, first = np.unique(ids[:, 0], return_index=True)  # one new edge per node and round
+            extra = np.full((len(self.x), 1), -1, np.int32)
+            extra[source, 0] = lost[first]
+            self.adjacent[0] = np.concatenate([self.adjacent[0], extra], 1)
 
     def _choose(self, cand: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
         """Diverse neighbours out of candidates (-1: none), sorted by similarity; rows of ``width`` ids."""
