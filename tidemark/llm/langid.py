@@ -15,12 +15,14 @@ output columns are replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import drop, materialize
@@ -102,13 +104,23 @@ class Model:
 def fit(train: DataFrame) -> Model:
     """A model from (body, lang), a bounded sample."""
     counts = train.mapInArrow(_counts, "kind int, lang string, h long, c long")
-    by_lang = counts.groupBy("kind", "h", "lang").agg(F.sum("c").alias("c"))
+    by_lang = materialize(counts.groupBy("kind", "h", "lang").agg(F.sum("c").alias("c")), "entries")
     each = by_lang.groupBy("kind", "h").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("total"), "h"))
-    kept = each.where("total >= 2").withColumn("rank", rank).where(F.col("rank") <= KNOWN).select("kind", "h", "by")
+    each = each.where("total >= 2")
+    # The smallest total that leaves at most KNOWN entries of a kind, from how often each total occurs.
+    room: dict[int, int] = {}
+    least: dict[int, int] = {}
+    for kind, total, n in each.groupBy("kind", "total").count().orderBy("kind", F.desc("total")).collect():
+        left = room.get(kind, KNOWN)
+        room[kind] = left - n if left >= n else 0
+        if left >= n:
+            least[kind] = total
+    enough = [(F.col("kind") == k) & (F.col("total") >= t) for k, t in least.items()]
+    kept = each.where(functools.reduce(operator.or_, enough, F.lit(False))).select("kind", "h", "by")
     totals = {(r["kind"], r["lang"]): r["n"] for r in by_lang.groupBy("kind", "lang").agg(F.sum("c").alias("n")).collect()}
     langs = sorted({lang for _, lang in totals})
     table = kept.select("kind", "h", *[F.coalesce(F.col("by")[lang], F.lit(0)).alias(f"c{k}") for k, lang in enumerate(langs)]).toPandas()
+    drop(by_lang)
     tables = []
     for kind in range(LONGEST + 1):
         part = table[table["kind"] == kind]
@@ -168,7 +180,7 @@ def identify_language(
     drop(train)
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     others = [c for c in keep if c != text_col]
-    base = docs.select(docs[text_col].alias("body"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
+    base = docs.select(docs[text_col].alias("body"), F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
     out = base.mapInArrow(_predict(model), f"body string, rest {base.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
     made = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text_col: F.col("body")}
     return out.select(*[made[c].alias(c) for c in keep], "lang_pred", "score")
