@@ -190,7 +190,7 @@ def _match(shared, threshold: float, item_type: pa.DataType):
 
 
 def mark_matches(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.4
 ) -> DataFrame:
     """``docs`` with ``matches``: item, score (share of the item aligned), first_word and end_word (about) in the text."""
     spark = docs.sparkSession
@@ -198,7 +198,7 @@ def mark_matches(
     item_type = pa.string() if item_kind == "string" else pa.int32() if item_kind == "int" else pa.int64()
     keep = [c for c in docs.columns if c.lower() != "matches"]
     others = [c for c in keep if c != text_col]
-    rest = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")])
+    rest = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")])
     out = docs.select(docs[text_col].alias("body"), rest.alias("rest"))
     text = docs.select(docs[text_col].alias("body"))
     matches = f"array<struct<item:{item_kind},score:double,first_word:int,end_word:int>>"
