@@ -160,7 +160,7 @@ def line_dedup(
         docs[id_col].alias("id"),
         F.coalesce(docs[text_col], F.lit("")).alias("body"),
         docs[text_col].isNull().alias("was_null"),
-        F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("none")]).alias("rest"),
+        F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("none")]).alias("rest"),
     )
     bits = PAGES * 8
     while bits < min(max_filter_bits, max(1 << 20, plan_bytes(docs) // 16)):

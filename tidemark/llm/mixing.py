@@ -126,7 +126,7 @@ def mix(
     rest = [c for c in keep if c.lower() not in (id_col.lower(), text_col.lower(), source_col.lower())]
     base = docs.select(
         docs[text_col].alias("body"), docs[id_col].alias("id"), docs[source_col].alias("source"),
-        F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("none")]).alias("rest"),
+        F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("none")]).alias("rest"),
     )
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     block = (_key(seed, F.lit("block"), word("id")) % n_blocks).cast("int")

@@ -193,7 +193,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] =
     """``pages`` with host, path, rule (or null), verdict (allow or block) and score (log-odds of block)."""
     made = ("host", "path", "rule", "verdict", "score")
     keep = [c for c in pages.columns if c.lower() not in made]
-    base = pages.select(pages[url_col].alias("u"), F.struct(*[pages[c].alias(f"c{i}") for i, c in enumerate(keep)]).alias("rest"))
+    base = pages.select(pages[url_col].alias("u"), F.struct(*[pages[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)]).alias("rest"))
     host, path = host_and_path(F.col("u"))
     parts = base.select("rest", "u", host.alias("host"), path.alias("path"))
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
