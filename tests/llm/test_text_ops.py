@@ -252,3 +252,15 @@ def test_find_pii(spark):
     assert row["base_sha256"] == hashlib.sha256(b"email:2:10,ip:11:18").hexdigest() and find_pii(df).count() == 6
     assert [r["text"] for r in redact(frame(spark, rows[2:3]), text_col="text").collect()] == ["é <EMAIL> <IP>"]
     assert find_pii(frame(spark, [])).count() == 0
+
+
+def test_odd_column_names(spark):
+    from tidemark.llm.decontam import mark_matches
+    from tidemark.llm.lmscore import score_documents
+    from tidemark.llm.mixing import mix
+
+    df = frame(spark, [(1, "some text here\nand more"), (2, None)]).withColumn("a.b", F.lit(1)).withColumn("source", F.lit("s")).withColumn("c0", F.lit(None).cast("int"))
+    bench = frame(spark, [(1, "x")], "item_id long, text string")
+    for out in (line_dedup(df), mix(df), mark_matches(df, bench), score_documents(df)):
+        assert out.columns[:5] == df.columns and out.count() >= 1
+        assert {r["a.b"] for r in out.collect()} == {1}
