@@ -35,10 +35,11 @@ from tidemark.llm.textkernels import U64, shingle_sets, slices, utf8
 
 #: Shingles packed together by one task before they are sent out.
 CHUNK_SHINGLES = 1_000_000
-#: Bits of the broadcast filter of documents that stay (8 MB); a fuller one only lets more documents through.
-STAY_BITS = 1 << 26
+#: Bits of the broadcast filter of documents that stay: so many for each, up to a fixed size (8 MB). A fuller one only
+#: lets more documents through.
+BITS_EACH, STAY_BITS = 64, 1 << 26
 #: Rounds that compare with hubs before the exact rest.
-HUB_ROUNDS = 5
+HUB_ROUNDS = 3
 #: Bits of the parity signature of a set; sets that differ in d shingles have signatures that differ in d bits at most.
 PARITY_BITS = 512
 
@@ -278,7 +279,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
     bits = 5
-    while bits < 18 and (8 << 20) << bits < plan_bytes(docs):
+    while bits < 18 and (2 << 20) << bits < plan_bytes(docs):
         bits += 1
     sent = base.mapInArrow(
         _send(width, bits, id_type), f"bucket int, chunk long, digest binary, doc binary, ids array<{kind}>, sizes array<int>"
@@ -288,8 +289,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     counts = materialize(marked.groupBy("chunk").applyInArrow(_sum_up(id_type), f"id {kind}, n int, shared long"), "counts")
     stay = counts.where("n > 0 and 4 * shared >= 3 * n and id is not null")
-    chosen = spark.sparkContext.broadcast(_filter_of(stay, STAY_BITS))
-    sets = base.where("id is not null").select("id", "body", F.pmod(F.xxhash64("id"), F.lit(STAY_BITS)).alias("at"))
+    stay_bits, wanted = 1 << 15, min(STAY_BITS, BITS_EACH * stay.count())
+    while stay_bits < wanted:
+        stay_bits *= 2
+    chosen = spark.sparkContext.broadcast(_filter_of(stay, stay_bits))
+    sets = base.where("id is not null").select("id", "body", F.pmod(F.xxhash64("id"), F.lit(stay_bits)).alias("at"))
     sets = sets.mapInArrow(_exact_sets(width, chosen, id_type), f"id {kind}, n int, sig binary, parity array<long>, grams array<long>")
     sets = materialize(sets.where("n > 0"), "sets")
     classes = sets.groupBy("sig").agg(F.min(F.struct("id", "n", "parity", "grams")).alias("x"))
