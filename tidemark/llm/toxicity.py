@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 #: Labelled documents to fit on, features kept, and partitions of the training sample.
 SAMPLE = 8_000
-FEATURES = 30_000
-PARTS = 8
+FEATURES = 12_000
+PARTS = 24
+#: Rows that carry the feature sums between executors.
+PIECES = 32
 PENALTY = 1.0
 
 
@@ -80,7 +83,13 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sums[1] += np.bincount(bucket[toxic], value[toxic], BUCKETS)
             sums[0] += np.bincount(bucket[~toxic], value[~toxic], BUCKETS)
             sums[2] += np.bincount(bucket, minlength=BUCKETS)
-    yield pa.RecordBatch.from_pydict({"sums": [sums.astype(np.float32).tobytes()]})
+    pieces = np.split(sums.astype(np.float32), PIECES, axis=1)
+    yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "sums": [x.tobytes() for x in pieces]})
+
+
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, np.float32).astype(float) for x in pdf["sums"])
+    return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "sums": [total.astype(np.float32).tobytes()]})
 
 
 def _training_rows(chosen: np.ndarray):
@@ -135,8 +144,10 @@ def lbfgs(f, w: np.ndarray, steps: int = 150, memory: int = 8) -> np.ndarray:
 def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     """Weight of each bucket and bias from (body, label), a bounded sample."""
     sums = np.zeros((3, BUCKETS))
-    for row in train.mapInArrow(_class_counts, "sums binary").collect():  # PARTS rows of 3 MB
-        sums += np.frombuffer(row[0], np.float32).reshape(3, BUCKETS)
+    size = BUCKETS // PIECES
+    counted = train.mapInArrow(_class_counts, "piece int, sums binary")
+    for piece, data in counted.groupBy("piece").applyInPandas(_add_up, "piece int, sums binary").collect():  # 3 MB in all
+        sums[:, piece * size : (piece + 1) * size] = np.frombuffer(data, np.float32).reshape(3, size)
     n, n_toxic = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     weights = np.zeros(BUCKETS)
     if not n_toxic or n_toxic == n:
@@ -147,28 +158,29 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     strength = np.where(sums[2] >= 2, np.abs(ratio) / np.sqrt(1 / p + 1 / q), 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     chosen = chosen[strength[chosen] > 0]
-    labels, rows, cols, values, base = [], [], [], [], 0
-    for part in train.mapInArrow(_training_rows(chosen), "label binary, row binary, at binary, value binary").collect():
-        label = np.frombuffer(part["label"], np.int8)
-        labels.append(label)
-        rows.append(np.frombuffer(part["row"], np.int32) + base)
-        cols.append(np.frombuffer(part["at"], np.int32))
-        values.append(np.frombuffer(part["value"], np.float32))
-        base += len(label)
-    y = np.concatenate(labels).astype(float)
-    row, col = np.concatenate(rows), np.concatenate(cols)
     scale = ratio[chosen]
-    x = np.concatenate(values) * scale[col]
+    favour = np.sqrt((n - n_toxic) / n_toxic)  # missing the rarer class costs more
+    got = train.mapInArrow(_training_rows(chosen), "label binary, row binary, at binary, value binary").collect()
+    parts = []
+    while got:
+        part = got.pop()
+        col = np.frombuffer(part["at"], np.int32)
+        x = (np.frombuffer(part["value"], np.float32) * scale[col]).astype(np.float32)
+        parts.append((np.frombuffer(part["label"], np.int8), np.frombuffer(part["row"], np.int32), col, x))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, x * w[col], len(y)) + w[-1]
-        value = np.logaddexp(0, z).sum() - y @ z + PENALTY / 2 * (w[:-1] @ w[:-1])
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        grad = np.append(np.bincount(col, x * error[row], len(chosen)) + PENALTY * w[:-1], error.sum())
+        value, grad = PENALTY / 2 * (w[:-1] @ w[:-1]), np.append(PENALTY * w[:-1], 0.0)
+        for y, row, col, x in parts:  # part by part, so that what is in flight stays small
+            z = np.bincount(row, x * w[col], len(y)) + w[-1]
+            weight = np.where(y > 0, favour, 1.0)
+            value += weight @ (np.logaddexp(0, z) - y * z)
+            error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+            grad[:-1] += np.bincount(col, x * error[row], len(chosen))
+            grad[-1] += error.sum()
         return value, grad
 
     start = np.zeros(len(chosen) + 1)
-    start[-1] = np.log(n_toxic / (n - n_toxic))
+    start[-1] = np.log(favour * n_toxic / (n - n_toxic))
     w = lbfgs(loss, start)
     weights[chosen] = w[:-1] * scale
     return weights, float(w[-1])
@@ -213,7 +225,7 @@ def score_toxicity(
     drop(train)
     keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     others = [c for c in keep if c != text_col]
-    rest = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
+    rest = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)])
     base = docs.select(docs[text_col].alias("body"), rest.alias("rest"))
     scored = base.mapInArrow(_score(model), f"body string, rest {base.schema['rest'].dataType.simpleString()}, score double")
     made = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text_col: F.col("body")}
