@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import drop, materialize
-from tidemark.llm.textkernels import U64, char_grams, distinct, slices, utf8, vocabulary, word_points
+from tidemark.llm.textkernels import SLICE_BYTES, U64, char_grams, distinct, slices, utf8, vocabulary, word_points
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -32,6 +32,8 @@ SIZES = (3, 4, 5)
 SAMPLE = 8_000
 FEATURES = 12_000
 PARTS = 24
+#: Bytes of text expanded into features at once while training.
+TRAIN_BYTES = 1 << 18
 #: Rows that carry the feature sums between executors.
 PIECES = 32
 PENALTY = 1.0
@@ -53,9 +55,9 @@ def _rows_of_words(ids: np.ndarray, row_words: np.ndarray, n_words: int) -> tupl
     return key // max(n_words, 1), key % max(n_words, 1)
 
 
-def _documents(batch_column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+def _documents(batch_column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     data, offsets = utf8(batch_column)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, limit):
         part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         hashes, starts, ends, ids, row_words = vocabulary(part, offs)
         words, buckets = _word_features(part, starts, ends)
@@ -77,7 +79,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     sums = np.zeros((3, BUCKETS))
     for batch in batches:
         label = batch.column(1).to_numpy()
-        for lo, _, *parts in _documents(batch.column(0)):
+        for lo, _, *parts in _documents(batch.column(0), TRAIN_BYTES):
             row, bucket, value = _expand(*parts)
             toxic = label[lo + row] > 0
             sums[1] += np.bincount(bucket[toxic], value[toxic], BUCKETS)
@@ -99,7 +101,7 @@ def _training_rows(chosen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy()
-            for lo, hi, *parts in _documents(batch.column(0)):
+            for lo, hi, *parts in _documents(batch.column(0), TRAIN_BYTES):
                 row, bucket, value = _expand(*parts)
                 keep = slot[bucket] >= 0
                 row, at, value = row[keep], slot[bucket[keep]], value[keep].astype(np.float32)
