@@ -144,6 +144,35 @@ def test_decontamination(spark):
     assert mark_matches(df.where("false"), bench).count() == 0
 
 
+def test_edited_and_partial_copies_against_unseeded_alignment(spark):
+    r = random.Random(7)
+    words = [f"t{i}" for i in range(3000)]
+    items = {k: [r.choice(words) for _ in range(20 + k)] for k in range(40)}
+    docs = {}
+    for k, body in items.items():
+        for part in range(40, 50, 3):  # a passage of 40 to 49 %
+            n = -(-len(body) * part // 100)
+            at = r.randrange(len(body) - n + 1)
+            docs[1000 * k + part] = body[at : at + n]
+        for edits in (25, 30):
+            copy = list(body)
+            for at in r.sample(range(len(body)), len(body) * edits // 100):
+                copy[at] = r.choice(words)
+            docs[1000 * k + edits] = copy
+    docs = {i: [*r.choices(words, k=15), *body, *r.choices(words, k=15)] for i, body in docs.items()}
+    want = {}
+    for i, body in docs.items():
+        number = {w: j for j, w in enumerate({*body, *items[i // 1000]}, 1)}
+        score = brute_align(*([number[w] for w in x] for x in (body, items[i // 1000]))) / len(items[i // 1000])
+        if score >= 0.4:
+            want[i, i // 1000] = round(score, 9)
+    assert len(want) == len(docs)
+    df = spark.createDataFrame([(i, " ".join(b)) for i, b in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(b)) for k, b in items.items()], "item_id long, text string")
+    rows = mark_matches(df, bench).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item", "m.score").collect()
+    assert {(x["doc_id"], x["item"]): x["score"] for x in rows} == want
+
+
 def test_seeds_are_the_rarer_half():
     items = Items([0], [" ".join(f"q{i}" for i in range(30))])
     frequency = np.arange(len(items.known))[::-1]

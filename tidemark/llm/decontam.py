@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are a stated query set, taken in blocks of bounded size. Words are runs of letters and digits, A-Z
-lower-cased. One pass counts in how many documents each 3-gram of the items occurs; the rarer half of each item's 3-grams
-(at least ``MIN_SEEDS``) are its seeds, so an item that leaked into very many documents keeps seeds too. In a second pass a
-seed hit opens a window of the document around the place where the item would lie; overlapping windows merge, and local
-alignment of words (match 1, mismatch and gap -0.5) scores each window. The share of the item's length
-that the best alignment reaches decides. Both passes only read documents and broadcast the block: no shuffle of
-texts, no pairs in a join, and a hot item costs no more than its own documents.
+lower-cased. Every 3-gram of an item is a seed, common or not. A seed hit opens a window of the document around the
+place where the item would lie; overlapping windows merge, and local alignment of words (match 1, mismatch and gap
+-0.5) scores each window. The share of the item's length that the best alignment reaches decides. A copy without three words of the item in a row has no seed. One pass reads the
+documents and broadcasts the block: no shuffle of texts, no pairs in a join, and a hot item costs no more than its own
+documents.
 
 Edge cases: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words are too short to tell from
 ordinary phrases and match nothing; rows that repeat are judged one by one; extra columns are kept, ``matches``
@@ -22,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkernels import PUNCTUATION, U64, distinct, slices, span_hashes, utf8, window_hashes, word_bounds
+from tidemark.llm.textkernels import PUNCTUATION, U64, slices, span_hashes, utf8, window_hashes, word_bounds
 
 GRAM = 3
 MIN_WORDS, MIN_SEEDS = 8, 8
 MISMATCH = GAP = 0.5
 #: Bytes of item texts in a block.
 BLOCK_BYTES = 4 << 20
+#: Places in items that seed hits open at once; a document with more is handled on its own.
+HITS = 1 << 18
 _FILTER = 1 << 22
 
 
@@ -116,26 +117,6 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return words, bounds, *window_hashes(words, bounds, GRAM)
 
 
-def _frequencies(shared):
-    """(gram number, documents) of each batch, for grams that occur."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            count = np.zeros(len(items.known), np.int64)
-            for lo, hi in slices(offsets):
-                _, _, grams, _, gram_bounds = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                at, known = items.find(grams)
-                row = np.searchsorted(gram_bounds, at, "right") - 1
-                pair = distinct(row * max(len(items.known), 1) + known)
-                count += np.bincount(pair % max(len(items.known), 1), minlength=len(items.known))
-            full = np.flatnonzero(count)
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(full, pa.int64()), "docs": pa.array(count[full])})
-
-    return run
-
-
 def _windows(items: Items, row: int, hits: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int]]:
     """(item, start, end) of merged windows of one document; ``hits`` has (item, word, place in item), sorted."""
     out: list[list[int]] = []
@@ -150,6 +131,32 @@ def _windows(items: Items, row: int, hits: np.ndarray, lo: int, hi: int) -> list
     return [tuple(x) for x in out]
 
 
+def _runs(row: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of gram hits that end with a document and open about ``HITS`` places in items, or those of one document."""
+    ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(row))
+    total = np.append(0, np.cumsum(size))
+    a = 0
+    while a < len(row):
+        within = ends[(ends > a) & (total[ends] <= total[a] + HITS)]
+        b = int(within[-1]) if len(within) else int(ends[np.searchsorted(ends, a, "right")])
+        yield a, b
+        a = b
+
+
+def _scores(items: Items, words: np.ndarray, bounds: np.ndarray, at: np.ndarray, row: np.ndarray, known: np.ndarray, size: np.ndarray):
+    """((row, item, first word of the window), alignment) of every window that the gram hits at words ``at`` open."""
+    seed = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(items.first[known], size)
+    hits = np.stack([np.repeat(row, size), items.item[seed], np.repeat(at, size), items.pos[seed]], 1)
+    hits = hits[np.lexsort((hits[:, 2] - hits[:, 3], hits[:, 1], hits[:, 0]))]
+    cut = np.flatnonzero(np.diff(hits[:, 0], prepend=-1))
+    spots = []
+    for a, b in zip(cut.tolist(), np.append(cut, len(hits))[1:].tolist(), strict=True):
+        r = int(hits[a, 0])
+        spots += [(r, *x) for x in _windows(items, r, hits[a:b, 1:], int(bounds[r]), int(bounds[r + 1]))]
+    scores = align([words[a:b] for _, _, a, b in spots], [items.words[i] for _, i, _, _ in spots])
+    return zip([x[:3] for x in spots], scores.tolist(), strict=True)
+
+
 def _match(shared, threshold: float, item_type: pa.DataType):
     kind = pa.list_(
         pa.struct([("item", item_type), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())])
@@ -163,23 +170,14 @@ def _match(shared, threshold: float, item_type: pa.DataType):
             for lo, hi in slices(offsets):
                 words, bounds, grams, first, gram_bounds = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 at, known = items.find(grams)
+                row = np.searchsorted(gram_bounds, at, "right") - 1
                 size = items.first[known + 1] - items.first[known]
-                seed = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(items.first[known], size)
-                word = np.repeat(first[at], size)
-                row = np.searchsorted(gram_bounds, np.repeat(at, size), "right") - 1
-                hits = np.stack([row, items.item[seed], word, items.pos[seed]], 1)
-                hits = hits[np.lexsort((hits[:, 2] - hits[:, 3], hits[:, 1], hits[:, 0]))]
-                cut = np.flatnonzero(np.diff(hits[:, 0], prepend=-1))
-                spots = []
-                for a, b in zip(cut.tolist(), np.append(cut, len(hits))[1:].tolist(), strict=True):
-                    r = int(hits[a, 0])
-                    spots += [(r, *x) for x in _windows(items, r, hits[a:b, 1:], int(bounds[r]), int(bounds[r + 1]))]
-                scores = align([words[a:b] for _, _, a, b in spots], [items.words[i] for _, i, _, _ in spots])
-                for (r, i, a, _), (score, end, rows) in zip(spots, scores.tolist(), strict=True):
-                    share = round(score / len(items.words[i]), 9)
-                    if share >= threshold and share > found[lo + r].get(i, (0,))[0]:
-                        stop = a + int(end) - int(bounds[r])
-                        found[lo + r][i] = (share, max(0, stop - int(rows)), stop)
+                for p, q in _runs(row, size):
+                    for (r, i, a), (score, end, rows) in _scores(items, words, bounds, first[at[p:q]], row[p:q], known[p:q], size[p:q]):
+                        share = round(score / len(items.words[i]), 9)
+                        if share >= threshold and share > found[lo + r].get(i, (0,))[0]:
+                            stop = a + int(end) - int(bounds[r])
+                            found[lo + r][i] = (share, max(0, stop - int(rows)), stop)
             column = [
                 [{"item": items.ids[i], "score": s, "first_word": a, "end_word": b} for i, (s, a, b) in sorted(x.items())]
                 for x in found
@@ -209,14 +207,7 @@ def mark_matches(
     for block in range(blocks):
         rows = chosen.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # about BLOCK_BYTES
         items = Items([r["id"] for r in rows], [r["body"] for r in rows])
-        shared = spark.sparkContext.broadcast(items)
-        counts = text.mapInArrow(_frequencies(shared), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-        frequency = np.zeros(len(items.known), np.int64)
-        for gram, n in counts.collect():  # one row per 3-gram of the block at most
-            frequency[gram] = n
-        seeds = Items(items.ids, [r["body"] for r in rows])
-        seeds.keep_rare(frequency)
-        marks = spark.sparkContext.broadcast(seeds)
+        marks = spark.sparkContext.broadcast(items)
         name = f"m{block}"
         out = out.mapInArrow(
             _match(marks, threshold, item_type),
