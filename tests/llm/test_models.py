@@ -88,6 +88,28 @@ def test_language_model(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_language_model_trains_on_every_document(spark, monkeypatch):
+    from tidemark.llm import lmscore
+
+    made, seen = lmscore._train, spark.sparkContext.accumulator(0)
+
+    def counted(shared, round_no):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            yield from made(shared, round_no)(each())
+
+        return run
+
+    monkeypatch.setattr(lmscore, "_train", counted)
+    rows = [(i, f"red apple pie number{i}") for i in range(10)] + [(100 + i, "a copy of one text") for i in range(30)]
+    assert score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert seen.value == len(rows)
+
+
 def test_network_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     net = Network(np.sort(rng.integers(0, 2**63, 50).astype(np.uint64)), np.ones(50), 100)

@@ -2,10 +2,10 @@
 
 A token is predicted from the two words on each side: position-wise embeddings are summed, passed through tanh, and a
 two-level softmax (class, then word within the class) gives its probability. Vocabulary: the most frequent words of the
-whole corpus, counted over all documents, plus hashed buckets for all other words. Training is data-parallel: each
-partition trains on its share of the documents (a fixed fraction of the corpus, by hash of the text, so it grows with
-the input), parameters are averaged on the executors, weighted by tokens, and the next round starts from the
-average. Scoring is one pass over whole texts with no shuffle; the model that is broadcast has a fixed size.
+whole corpus, counted over all documents, plus hashed buckets for all other words. Training is data-parallel: every
+document is trained on once, copies too, in one of ``ROUNDS`` rounds by a hash of its numbers and strings other than the
+text. Parameters are averaged on the executors, weighted by tokens, and the next round starts from the average.
+Scoring is one pass over whole texts with no shuffle; the model that is broadcast has a fixed size.
 
 Edge cases: null, empty and word-less texts have 0 tokens, a sum of 0 and a mean of 0; rows that repeat are
 scored one by one; extra columns are kept, ones named like output columns are replaced; an empty table gives an empty table.
@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from tidemark.llm.storage import drop, materialize
 from tidemark.llm.textkernels import U64, slices, utf8, vocabulary
@@ -29,9 +30,11 @@ VOCAB = CLASSES * PER_CLASS
 #: Ids of words outside the known ones, by hash.
 OTHER = 256
 SIDES = (-2, -1, 1, 2)
-#: One of so many documents is trained on in each round (another share in each), and rounds of averaging.
-SHARE, ROUNDS = 24, 2
+#: Rounds of averaging; together they train on every document.
+ROUNDS = 2
 BATCH, RATE = 256, 0.2
+#: Tokens scored at once; more no longer fit the cache.
+SCORED = 1024
 #: Rows that carry the parameters between executors.
 PIECES = 16
 
@@ -115,9 +118,13 @@ class Network:
         p["ww"] -= scale * (h.T @ pw)
         p["bc"] -= scale * pc.sum(0)
         p["b"] -= scale * dh.sum(0)
-        np.subtract.at(p["bw"], cls, scale * pw)
-        for s in range(len(SIDES)):
-            np.subtract.at(p["e"][s], context[s], scale * dh)
+        hot = np.zeros((CLASSES, len(target)), np.float32)
+        hot[cls, at] = 1
+        p["bw"] -= hot @ (scale * pw)
+        # Single numbers, as NumPy has a fast loop for those only.
+        rows = (context + np.arange(len(SIDES))[:, None] * (VOCAB + 1)) * HIDDEN
+        cells = rows[:, :, None] + np.arange(HIDDEN)
+        np.subtract.at(p["e"].reshape(-1), cells.ravel(), np.tile((scale * dh).ravel(), len(SIDES)))
 
 
 def _contexts(ids: np.ndarray, row_words: np.ndarray) -> np.ndarray:
@@ -164,9 +171,10 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train_network(text: DataFrame) -> Network:
-    """A network for the corpus in the one string column of ``text``."""
+    """A network for the corpus in the string column of ``text``; the second column is the round of each row."""
     spark = text.sparkSession
-    text = text.toDF("body")
+    rows = text.toDF("body", "round")
+    text = rows.select("body")
     counts = text.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "words")
     top = counts.orderBy(F.desc("c"), "h").limit(VOCAB - OTHER).collect()
@@ -174,7 +182,7 @@ def train_network(text: DataFrame) -> Network:
     drop(counts)
     net = Network(np.array([r["h"] for r in top], np.int64).view(U64), np.array([r["c"] for r in top], float), total)
     for round_no in range(ROUNDS if top else 0):
-        part = text.where(F.pmod(F.xxhash64("body"), F.lit(SHARE)) == round_no)
+        part = rows.where(F.col("round") == round_no).select("body")
         made = part.mapInArrow(_train(spark.sparkContext.broadcast(net), round_no), "piece int, weight long, data binary")
         pieces = made.groupBy("piece").applyInPandas(_average, "piece int, data binary").collect()  # PIECES rows, one network
         if pieces:
@@ -193,8 +201,8 @@ def _score(shared):
                 tokens = net.tokens(hashes)[ids]
                 context = _contexts(tokens, row_words)
                 log_p = np.zeros(len(tokens))
-                for a in range(0, len(tokens), 8192):
-                    log_p[a : a + 8192] = net.forward(context[:, a : a + 8192], tokens[a : a + 8192])[3]
+                for a in range(0, len(tokens), SCORED):
+                    log_p[a : a + SCORED] = net.forward(context[:, a : a + SCORED], tokens[a : a + SCORED])[3]
                 size = np.diff(row_words)
                 n[lo:hi] = size
                 total[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), size), log_p, hi - lo)
@@ -209,7 +217,8 @@ def _score(shared):
 
 def score_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, pll (sum of conditional log-probabilities) and mean_pll, from a network of their own corpus."""
-    net = train_network(docs.select(docs[text_col]))
+    keys = [docs[f"`{f.name}`"] for f in docs.schema if f.name != text_col and isinstance(f.dataType, (NumericType, StringType))]
+    net = train_network(docs.select(docs[text_col], F.pmod(F.xxhash64(F.lit(0), *keys), F.lit(ROUNDS))))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     keep = [c for c in docs.columns if c.lower() not in ("n_tokens", "pll", "mean_pll")]
     others = [c for c in keep if c != text_col]
