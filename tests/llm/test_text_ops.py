@@ -243,6 +243,22 @@ def test_clean_text_gets_nothing(text):
     assert not any(added_spans(text, plain_spans(text)).values())
 
 
+def test_find_pii_sees_every_disguise(spark):
+    texts = [
+        "jean (arobase) exemple.fr", "jean [arobase] exemple.fr", "user@example. com", "user@my-site .com", "call 555 OO 12345 x", "josé@ my-site .com",
+        "jean [ARO\u200bBASE] exemple.fr", "jean\u3000[at]\u3000exemple.fr", "call plus \u017fix one one five five one two three four five six seven",
+        *(f"ana{a}site{d}com" for a in (" [at] ", " (arroba) ", " <@> ", "&#64;", "&commat;", "%40", " at ", "_arobase_", " @ ") for d in (" (punkt) ", "&#46;", " dot ", "-punto-", " . ", ".")),
+    ]
+    want = {}
+    for i, text in enumerate(texts):
+        plain = plain_spans(text)
+        more = added_spans(text, plain)
+        want[i] = ",".join(f"{k}:{a}:{b}" for k in ("email", "ip", "card", "phone") for a, b in sorted(plain[k] + more[k]))
+    assert all(want[i] for i in range(4)) and want[8]
+    got = find_pii(frame(spark, list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == want
+
+
 def test_find_pii(spark):
     rows = [(1, None), (2, ""), (3, "é me@x.com 1.2.3.4"), (None, "+1 (743) 555-3824"), (3, "é me@x.com 1.2.3.4"), (4, "a [at] b [dot] com")]
     df = frame(spark, rows).withColumn("spans", F.lit("own")).withColumn("body", F.lit(1))

@@ -14,6 +14,7 @@ character in it was rewritten and it overlaps no plain span of its kind; an empt
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
 import unicodedata
@@ -43,6 +44,7 @@ _LOOKALIKES = {
     "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g",
     "\u2024": ".", "\u3002": ".", "\uff61": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-",
     "\u2212": "-", "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ",
+    "\u017f": "s", "\u212a": "K", "\u0130": "I",
 }
 # Digit words of the corpus languages.
 _DIGIT_WORDS = {
@@ -84,15 +86,17 @@ _DOT = r"\s*(?:[\[({<]\s*(?:dot|punto|punkt|point|\.)\s*[\])}>]|&#(?:46|x2e);|&p
 _GAP = r"(?:\s+|\s*[_*|~-]{1,3}\s*)"
 _BARE_AT, _BARE_DOT = rf"{_GAP}(?:at|arroba|arobase){_GAP}", rf"{_GAP}(?:dot|punto|punkt){_GAP}"
 _LABEL = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*?"
-_REWRITE = re.compile(
-    rf"(?P<zero>[{_ZERO_WIDTH}]+)|(?P<at>{_AT})|(?P<dot>{_DOT})"
-    rf"|(?P<digits>(?<!\w)(?:(?:plus\s+)|\+\s*)?(?:{_WORD}|[0-9]+)(?:(?:\s*[,-]\s*|\s+)(?:{_WORD}|[0-9]+)){{3,}}(?!\w))"
-    rf"|(?P<bare>(?<![\w.%+-])[\w.%+-]+?{_BARE_AT}{_LABEL}(?:(?:{_BARE_DOT}|\.){_LABEL})*?{_BARE_DOT}[A-Za-z]{{2,}}(?:{_BARE_DOT}[A-Za-z]{{2,}})*(?![\w-]))"
-    rf"|(?P<wide>(?<![\w.%+-])[\w.%+-]+\s*@\s*{_LABEL}(?:\s*\.\s*{_LABEL})*?\s*\.\s*(?:{_TOP})(?!\w))"
-    r"|(?P<dots>(?<!\w)[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?!\w))"
-    rf"|(?P<mixed>(?<![\w+])\+?{_LETTER_DIGIT}(?:[\s().-]{{0,2}}{_LETTER_DIGIT}){{6,}}(?!\w))",
-    re.IGNORECASE,
-)
+_PIECES = {
+    "zero": rf"[{_ZERO_WIDTH}]+",
+    "at": _AT,
+    "dot": _DOT,
+    "digits": rf"(?<!\w)(?:(?:plus\s+)|\+\s*)?(?:{_WORD}|[0-9]+)(?:(?:\s*[,-]\s*|\s+)(?:{_WORD}|[0-9]+)){{3,}}(?!\w)",
+    "bare": rf"(?<![\w.%+-])[\w.%+-]+?{_BARE_AT}{_LABEL}(?:(?:{_BARE_DOT}|\.){_LABEL})*?{_BARE_DOT}[A-Za-z]{{2,}}(?:{_BARE_DOT}[A-Za-z]{{2,}})*(?![\w-])",
+    "wide": rf"(?<![\w.%+-])[\w.%+-]+\s*@\s*{_LABEL}(?:\s*\.\s*{_LABEL})*?\s*\.\s*(?:{_TOP})(?!\w)",
+    "dots": r"(?<!\w)[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?!\w)",
+    "mixed": rf"(?<![\w+])\+?{_LETTER_DIGIT}(?:[\s().-]{{0,2}}{_LETTER_DIGIT}){{6,}}(?!\w)",
+}
+_REWRITE = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PIECES.items()), re.IGNORECASE)
 _BARE = re.compile(rf"{_GAP}(at|arroba|arobase|dot|punto|punkt){_GAP}", re.IGNORECASE)
 _WIDE = re.compile(r"\s*([@.])\s*")
 _DIGIT_TOKEN = re.compile(rf"(?P<plus>plus\s+|\+\s*)|(?P<word>{_WORD})|(?P<num>[0-9]+)", re.IGNORECASE)
@@ -109,14 +113,25 @@ def _class(chars: list[int]) -> str:
     return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
 
 
-#: What makes a text worth normalising (RE2 syntax; linear time).
-_TRIGGER = (
-    rf"(?i)[{_class([*_CHARS, *map(ord, _ZERO_WIDTH)])}]"
-    r"|[\[({<]\s*(?:at|arroba|@|dot|punto|punkt|point|\.)\s*[\])}>]|&#(?:64|x40|46|x2e);|&commat;|&period;|\sdot\s"
-    r"|\w%40\w|[\s_*|~-](?:dot|punto|punkt)[\s_*|~-]|\w\s+@|@\s+\w|@\w+\s+\."
-    rf"|(?:^|\W)(?:{_WORD}|[0-9]+)(?:(?:\s*[,-]\s*|\s+)(?:{_WORD}|[0-9]+)){{3}}"
-    rf"|[0-9][\s().-]{{0,2}}(?-i:[{''.join(_DIGIT_LETTERS)}])[\s().-]{{0,2}}[0-9]|(?:^|\W)(?-i:[{''.join(_DIGIT_LETTERS)}])+[0-9]|[0-9](?-i:[{''.join(_DIGIT_LETTERS)}])+(?:\W|$)"
-)
+def _re2(pattern: str) -> str:
+    """``pattern`` in RE2 syntax, without its assertions: it matches wherever ``pattern`` does."""
+    pattern = re.sub(r"\(\?<?[=!][^()]*\)", "", pattern)
+    wide = {r"\w": r"\p{L}\p{N}_", r"\s": r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"}  # RE2's own are ASCII only
+    out, bracket = [], False
+    for part in re.findall(r"\\.|.", pattern):
+        out.append(part if part not in wide else wide[part] if bracket else f"[{wide[part]}]")
+        bracket = part == "[" or bracket and part != "]"
+    return "".join(out)
+
+
+_LETTER, _BETWEEN = f"(?-i:[{''.join(_DIGIT_LETTERS)}])", _re2(rf"(?:[\s().-]{{0,2}}[{''.join(_DIGIT_LETTERS)}])*[\s().-]{{0,2}}")
+#: What such a piece must also hold for rewriting to change it: a letter with only its like between it and a digit.
+_NEEDED = {"mixed": f"(?i)[0-9]{_BETWEEN}{_LETTER}|{_LETTER}{_BETWEEN}[0-9]"}
+#: What makes a text worth normalising: a character to map, or any piece of ``_REWRITE`` (RE2 syntax; linear time).
+_TRIGGERS = [
+    (f"[{_class([*_CHARS, *map(ord, _ZERO_WIDTH)])}]",),
+    *((f"(?i){_re2(p)}", *([_NEEDED[kind]] if kind in _NEEDED else [])) for kind, p in _PIECES.items() if kind != "zero"),
+]
 
 Span = tuple[int, int]
 
@@ -272,7 +287,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(1).fill_null("")
         plain_hit = pc.match_substring_regex(text, "[0-9@]")
-        disguised = pc.match_substring_regex(text, _TRIGGER)
+        disguised = functools.reduce(pc.or_, (functools.reduce(pc.and_, (pc.match_substring_regex(text, p) for p in t)) for t in _TRIGGERS))
         rows = [_NOTHING] * batch.num_rows
         for i in pc.indices_nonzero(pc.or_(plain_hit, disguised)).to_pylist():
             body = text[i].as_py()
