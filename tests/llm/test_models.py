@@ -195,6 +195,14 @@ def test_edited_and_partial_copies_against_unseeded_alignment(spark):
     assert {(x["doc_id"], x["item"]): x["score"] for x in rows} == want
 
 
+def test_short_items_match_whole(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "who wrote hamlet"), (3, "name"), (4, "is two plus two equal to"), (5, "?!")], "item_id long, text string")
+    docs = [(1, "a b. WHO wrote\nHamlet, who wrote hamlet"), (2, "who never wrote hamlet"), (3, "my name"), (4, "two plus two equal to"), (5, "is two plus two equal to 4"), (6, None)]
+    rows = mark_matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    got = {tuple(x) for x in rows.collect()}
+    assert got == {(1, 1, 1.0, 2, 5), (1, 2, 1.0, 2, 5), (3, 3, 1.0, 1, 2), (5, 4, 1.0, 0, 6)}
+
+
 def test_seeds_are_the_rarer_half():
     items = Items([0], [" ".join(f"q{i}" for i in range(30))])
     frequency = np.arange(len(items.known))[::-1]

@@ -7,8 +7,8 @@ place where the item would lie; overlapping windows merge, and local alignment o
 documents and broadcasts the block: no shuffle of texts, no pairs in a join, and a hot item costs no more than its own
 documents.
 
-Edge cases: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words are too short to tell from
-ordinary phrases and match nothing; rows that repeat are judged one by one; extra columns are kept, ``matches``
+Edge cases: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words match only where all their words
+stand in a row (one without words nowhere); rows that repeat are judged one by one; extra columns are kept, ``matches``
 is replaced; empty tables give no matches.
 """
 
@@ -34,7 +34,7 @@ _FILTER = 1 << 22
 
 
 class Items:
-    """Words and 3-grams of a block of test items; ``seeds`` maps gram hashes to places in items."""
+    """Words and 3-grams of a block of test items, and the short items among them."""
 
     def __init__(self, ids: list, texts: list[str]) -> None:
         self.ids = ids
@@ -50,6 +50,12 @@ class Items:
         keep = long[self.item] if len(ids) else np.zeros(0, bool)
         self.item, self.pos, self.gram = self.item[keep], self.pos[keep], self.gram[keep]
         self._index()
+        #: By number of words: the items of each hash of a whole short item.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < MIN_WORDS:
+                whole = int(window_hashes(w, np.array([0, len(w)]), len(w))[0][0])
+                self.short.setdefault(len(w), {}).setdefault(whole, []).append(i)
 
     def _index(self) -> None:
         order = np.argsort(self.gram, kind="stable")
@@ -157,6 +163,20 @@ def _scores(items: Items, words: np.ndarray, bounds: np.ndarray, at: np.ndarray,
     return zip([x[:3] for x in spots], scores.tolist(), strict=True)
 
 
+def _whole(words: np.ndarray, bounds: np.ndarray, n: int, whole: dict[int, list[int]]) -> Iterator[tuple[int, int, int]]:
+    """(row, item, place in the row) of the first of each short item of ``n`` words in each row."""
+    grams, first, gram_bounds = window_hashes(words, bounds, n)
+    at = np.flatnonzero(np.isin(grams, np.array(list(whole), U64)))
+    row = np.searchsorted(gram_bounds, at, "right") - 1
+    order = np.lexsort((at, grams[at], row))
+    at, row = at[order], row[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (grams[at[1:]] != grams[at[:-1]])
+    for k, r in zip(at[new].tolist(), row[new].tolist(), strict=True):
+        for item in whole[int(grams[k])]:
+            yield r, item, int(first[k] - bounds[r])
+
+
 def _match(shared, threshold: float, item_type: pa.DataType):
     kind = pa.list_(
         pa.struct([("item", item_type), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())])
@@ -178,6 +198,9 @@ def _match(shared, threshold: float, item_type: pa.DataType):
                         if share >= threshold and share > found[lo + r].get(i, (0,))[0]:
                             stop = a + int(end) - int(bounds[r])
                             found[lo + r][i] = (share, max(0, stop - int(rows)), stop)
+                for n, whole in items.short.items():
+                    for r, i, a in _whole(words, bounds, n, whole):
+                        found[lo + r].setdefault(i, (1.0, a, a + n))
             column = [
                 [{"item": items.ids[i], "score": s, "first_word": a, "end_word": b} for i, (s, a, b) in sorted(x.items())]
                 for x in found
