@@ -75,6 +75,32 @@ def test_blocks_agree_with_one_window(spark):
     assert got == want
 
 
+def test_rows_without_a_time_stay(spark):
+    times = [None, DAY, None, DAY + dt.timedelta(hours=30), DAY + dt.timedelta(hours=1)]
+    df = series(spark, times)
+    got = {r["ord"]: r["delta_us"] for r in X.time_deltas(df, "ts", ["ts", "ord"], ["box"]).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 29 * 3_600_000_000, 4: 3_600_000_000}
+    sums = {r["ord"]: r["s"] for r in X.with_running_sum(df, "ts", ["ts", "ord"], "ord", "s", ["box"]).collect()}
+    assert sums == {0: 0, 2: 2, 1: 3, 4: 7, 3: 10}
+    report = K.validation_report(df, "ts", "ord", ["box"]).first()
+    assert (report["n_points"], report["n_deltas"], report["null_times"], report["valid"]) == (5, 2, 2, False)
+    encoded = X.encode_deltas(X.time_deltas(df, "ts", ["ts", "ord"], ["box"]), X.time_units(df, "ts", ["box"]), ["box"])
+    back = X.rebuild_times(encoded, X.box_span(df, "ts", ["box"]), "ts", ["ts", "ord"], ["box"])
+    assert back.where("not ts <=> rebuilt_ts").count() == 0 and back.count() == 5
+
+
+def test_blocks_are_sized_by_rows(spark):
+    df = series(spark, [DAY + dt.timedelta(seconds=i) for i in range(100)] + [None] * 90)
+    assert [X.block_for(df, "ts", ["box"], most) for most in (100, 60, 59, 1, 0)] == [86_400_000_000, 60_000_000, 1_000_000, 1_000_000, 1]
+
+
+def test_time_order(spark):
+    rng = np.random.default_rng(1)
+    df = series(spark, [DAY + dt.timedelta(seconds=int(s)) for s in rng.integers(0, 50, 300)]).repartition(4)
+    got = [(r["ts"], r["ord"]) for r in P.in_time_order(df, "ts", ["ord"]).collect()]
+    assert got == sorted(got) and len(got) == 300
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.integers(0, 10**12), max_size=20), st.sampled_from([1, 1000, 10**6, 3600 * 10**6, 86400 * 10**6]))
 def test_time_round_trip(spark, offsets, scale):

@@ -15,7 +15,7 @@ from tidemark.streaming.append import append_stream, read_appended
 
 DAY = dt.datetime(2018, 1, 1)
 US = np.datetime64(DAY, "us").astype(np.int64)
-TAGS = {"tag_0": np.array([1, 2, 3, 4], np.uint8), "tag_1": np.array([-4, -2, 0, 2000], np.int16), "tag_2_long_name": np.array([5.2, 0.8, 3.1415, 8], np.float32)}
+TAGS = {"depth": np.array([9, 0, 200, 31], np.uint8), "flow": np.array([-700, 12, 0, 45], np.int16), "temperature_raw": np.array([1.25, -3.5, 40.0, 0.1], np.float32)}
 
 
 def test_golden_sizes():
@@ -24,6 +24,7 @@ def test_golden_sizes():
     head = container.decode_header(data)
     assert (head.id_bytes, head.delta_unit, head.delta_bytes) == (60, "D", 1)
     assert len(data) == head.size + 3 + 28
+    # Fixed values of the format: five numbered tags of these types, header sizes 231 and 230, byte sum 813.
     ids = {0: np.zeros(10, np.uint8), 1: np.zeros(10, np.int16), 2: np.zeros(10, np.float32), 255: np.zeros(10, np.int64), 256: np.zeros(10, np.float64)}
     grid = US + np.arange(10) * 3_600_000_000
     one, two = container.encode_file(grid, ids, step_seconds=3600), container.encode_file(grid, ids)
@@ -116,6 +117,35 @@ def test_containers(spark, tmp_path):
     assert spark.read.format("tidemark").option("tags", "y").load(path).columns == ["path", "ts", "y"]
 
 
+def test_files_refuse_what_they_cannot_hold(spark, tmp_path):
+    df = events(spark, 20)
+    for bad, error in (
+        (df.withColumn("x", F.when(F.col("id") > 3, F.col("x"))), "has a null in box"),
+        (df.withColumn("ts", F.when(F.col("id") > 3, F.col("ts"))), "null time"),
+        (df.withColumn("y", F.when(F.col("id") == 3, F.lit(float("nan"))).otherwise(F.col("y"))), "can't be rounded"),
+    ):
+        with pytest.raises(Exception, match=error):
+            container.write_containers(bad, str(tmp_path / "n"), "ts", ["ts", "id"], "box", [TagSpec("y", rounded=True, decimals=1)]).collect()
+    with pytest.raises(Exception, match="not the grid"):
+        container.write_containers(df, str(tmp_path / "g"), "ts", ["ts", "id"], "box", step_seconds=60).collect()
+    odd = df.withColumn("box", F.element_at(F.array(F.lit("001"), F.lit("a/b"), F.lit(None), F.lit("")), (F.col("id") % 4 + 1).cast("int")))
+    made = container.write_containers(odd, str(tmp_path / "o"), "ts", ["ts", "id"], "box").collect()
+    assert {r["box"] for r in made} == {"001", "a/b", None, ""} and len({r["path"] for r in made}) == len(made)
+
+
+def test_pandas_files(tmp_path):
+    index = pd.to_datetime(["2020-02-01 07:05:00", "2020-02-01 06:55:00", "2020-02-01 07:00:00"])
+    pdf, path = pd.DataFrame({"by": [3, 1, 2], "I": [1.5, np.nan, 2.5]}, index=index), str(tmp_path / "f.box")
+    tables.save_pandas(pdf, path)
+    assert tables.save_pandas(pdf.iloc[:1], path) == (tmp_path / "f.box").stat().st_size
+    assert tables.save_pandas(pdf.sort_index(), path, step_seconds=300) == (tmp_path / "f.box").stat().st_size
+    back = tables.load_pandas(path)
+    pd.testing.assert_frame_equal(back[["by", "I"]], pdf.sort_index(), check_names=False, check_index_type=False, check_freq=False)
+    for bad, error in ((pdf.reset_index(drop=True), E.InvalidPandasIndexError), (pdf.assign(t="x"), E.InvalidPandasDataTypeError)):
+        with pytest.raises(error):
+            tables.save_pandas(bad, path)
+
+
 def test_pandas_and_csv(spark, tmp_path):
     index = pd.to_datetime(["2020-02-01 07:05:00", "2020-02-01 06:55:00", "2020-02-01 07:00:00"])
     pdf = pd.DataFrame({"as": [1, 2, 3], "I": [1.5, np.nan, 2.5], "u": np.array([0, 2**64 - 1, 5], np.uint64)}, index=index)
@@ -177,3 +207,11 @@ def test_stream_append(spark, tmp_path):
     query = append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts", ["box"], "x")
     query.awaitTermination(60)
     assert same(df, read_appended(spark, str(tmp_path / "out"), "x"))
+
+
+def test_stream_keeps_tags_named_like_its_own_columns(spark, tmp_path):
+    df = events(spark, 20).withColumns({"block": F.col("id"), "batch": F.col("x"), "encoded": F.lit(1), "ref": F.lit(2)})
+    df.withColumn("x", F.when(F.col("id") > 5, F.col("x"))).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts", ["box"], "x").awaitTermination(60)
+    assert same(spark.read.parquet(str(tmp_path / "in")), read_appended(spark, str(tmp_path / "out"), "x"))

@@ -1,15 +1,16 @@
 """Column codecs: subtract-minimum ('m'), successive difference ('e'), decimal rounding, and narrow widths.
 
-References are one row per box, joined back; NaN and null stay out of references and pass through encoding.
-Differences of 'e' skip nothing: a null value gives null differences on both sides of it, and decoding stops being exact
-there, so 'e' is for columns without nulls. Integer columns decode exactly, floats in 'e' up to rounding.
+References are one row per box, joined back. NaN, the infinities and null stay out of references and differences and come back as they were:
+'e' takes the difference to the last value before that is none of them. The reference is null where a value is encoded as itself: in boxes of 64-bit integers
+whose range needs more than 63 bits, and on the null rows of 'e'. Integer columns decode exactly, floats in 'e' up to rounding.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,43 +51,101 @@ def is_identity(kind: T.DataType, n_points: int, mode: str) -> bool:
 
 
 def present(x: Column, kind: T.DataType) -> Column:
-    """The value, with NaN as null."""
-    return F.when(~F.isnan(x), x) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else x
+    """The value, with NaN and the infinities as null."""
+    return F.when(F.abs(x) < float("inf"), x) if isinstance(kind, T.FloatType | T.DoubleType) else x
+
+
+def widened(value: Column, kind: T.DataType) -> Column:
+    """Integers as long, so that a difference of two of fewer bytes always fits; other columns as they are."""
+    return value.cast("long") if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType) else value
+
+
+def fits(least: Column, most: Column, kind: T.DataType) -> Column:
+    """Whether all differences of values in [least, most] are of the column's type: only longs can fail."""
+    if not isinstance(kind, T.LongType):
+        return F.lit(True)
+    return most.cast("decimal(20,0)") - least.cast("decimal(20,0)") <= F.lit(Decimal(2**63 - 1))
 
 
 def references(df: DataFrame, column: str, mode: str, order: list[str], box: list[str] | None = None) -> DataFrame:
-    """ref of each box: the minimum for 'm', the first value in time order for 'e'."""
+    """ref of each box: the minimum for 'm', the first value in time order for 'e'; null without values and where a codec does not fit."""
     check_mode(mode)
     kind = df.schema[column].dataType
     check_type(kind)
     value = present(F.col(f"`{column}`"), kind)
-    ref = F.min(value) if mode == "m" else F.min_by(F.col(f"`{column}`"), F.struct(*order))
-    return df.groupBy(*(box or [])).agg(ref.alias("ref"))
+    ref = F.min(value) if mode == "m" else F.min_by(value, F.when(value.isNotNull(), F.struct(*order)))
+    return df.groupBy(*(box or [])).agg(F.when(fits(F.min(value), F.max(value), kind), widened(ref, kind)).alias("ref"))
 
 
 def _with_reference(df: DataFrame, refs: DataFrame, box: list[str]) -> DataFrame:
-    side = refs.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(box)], "ref")
-    same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(box)]
+    side = refs.select(*[F.col(b).alias(f"__tm_b{i}") for i, b in enumerate(box)], "ref")
+    same = [F.col(b).eqNullSafe(F.col(f"__tm_b{i}")) for i, b in enumerate(box)]
     joined = df.join(side, same) if box else df.crossJoin(F.broadcast(side.limit(1)))
-    return joined.drop(*[f"_b{i}" for i in range(len(box))])
+    return joined.drop(*[f"__tm_b{i}" for i in range(len(box))])
+
+
+def _odd(x: Column, kind: T.DataType) -> Column:
+    """NaN or infinite."""
+    return x.isNotNull() & present(x, kind).isNull()
+
+
+def difference(value: Column, ref: Column, before: Column | None, mode: str, kind: T.DataType) -> Column:
+    """The encoded form of ``value``, for odd values the value itself; ``before`` is the last finite value before it."""
+    itself = ref.isNull() | _odd(value, kind) if isinstance(kind, T.FloatType | T.DoubleType) else ref.isNull()
+    return F.when(itself, value).otherwise(value - (ref if mode == "m" else before))
+
+
+def restored(encoded: Column, ref: Column, offset: Column, kind: T.DataType) -> Column:
+    """The value of an encoded row; ``offset`` is what the reference lacks (in 'e' the sum of the differences so far)."""
+    out = F.when(ref.isNull(), encoded)
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        out = out.when(_odd(encoded, kind), encoded)
+    return out.otherwise(ref + offset)
 
 
 def encode(df: DataFrame, column: str, mode: str, ts: str, order: list[str], box: list[str] | None = None) -> DataFrame:
-    """Adds ref and encoded; in mode 'e' the first row of a box has a null, as it is the reference itself."""
-    refs = references(df, column, mode, order, box)
+    """Adds ref and encoded; in mode 'e' the first value of a box has a null, as it is the reference itself."""
+    kind = df.schema[column].dataType
+    refs, value = references(df, column, mode, order, box), widened(F.col(f"`{column}`"), kind)
     if mode == "m":
-        return _with_reference(df, refs, box or []).withColumn("encoded", F.col(f"`{column}`") - F.col("ref"))
-    both = with_previous(df, ts, order, {"_before": column}, box)
-    return _with_reference(both, refs, box or []).withColumn("encoded", F.col(f"`{column}`") - F.col("_before")).drop("_before")
+        return _with_reference(df, refs, box or []).withColumn("encoded", difference(value, F.col("ref"), None, mode, kind))
+    both = df.withColumn("__tm_present", widened(present(F.col(f"`{column}`"), kind), kind))
+    both = with_previous(both, ts, order, {"__tm_before": "__tm_present"}, box, skip_nulls=True)
+    both = _with_reference(both, refs, box or []).withColumn("ref", F.when(F.col(f"`{column}`").isNotNull(), F.col("ref")))
+    return both.withColumn("encoded", difference(value, F.col("ref"), F.col("__tm_before"), mode, kind)).drop("__tm_before", "__tm_present")
 
 
 def decode(df: DataFrame, mode: str, ts: str, order: list[str], box: list[str] | None = None, name: str = "decoded") -> DataFrame:
     """Adds the value again from ref and encoded."""
     check_mode(mode)
+    kind = df.schema["encoded"].dataType
+    if mode == "m":
+        return df.withColumn(name, restored(F.col("encoded"), F.col("ref"), F.col("encoded"), kind))
+    steps = df.withColumn("__tm_step", F.when(F.col("ref").isNotNull(), present(F.col("encoded"), kind)))
+    summed = with_running_sum(steps, ts, order, "__tm_step", "__tm_offset", box)
+    return summed.withColumn(name, restored(F.col("encoded"), F.col("ref"), F.col("__tm_offset"), kind)).drop("__tm_offset", "__tm_step")
+
+
+def encode_over(value: Column, kind: T.DataType, mode: str, rows: WindowSpec) -> tuple[Column, Column]:
+    """(ref, encoded) with a reference for each partition of the ordered window ``rows`` in place of each box: nothing crosses partitions."""
+    check_mode(mode)
+    check_type(kind)
+    whole = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    real = widened(present(value, kind), kind)
+    least, most = F.min(real).over(whole), F.max(real).over(whole)
+    ref = least if mode == "m" else F.when(value.isNotNull(), F.first(real, ignorenulls=True).over(whole))
+    ref = F.when(fits(least, most, kind), ref)
+    before = None if mode == "m" else F.last(real, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
+    return ref, difference(widened(value, kind), ref, before, mode, kind)
+
+
+def decode_over(encoded: Column, ref: Column, kind: T.DataType, mode: str, rows: WindowSpec) -> Column:
+    """The inverse of ``encode_over``; ``kind`` is the type of the encoded column."""
     if mode == "m":
-        return df.withColumn(name, F.col("encoded") + F.col("ref"))
-    summed = with_running_sum(df, ts, order, "encoded", "_offset", box)
-    return summed.withColumn(name, F.col("ref") + F.col("_offset")).drop("_offset")
+        return restored(encoded, ref, encoded, kind)
+    step = F.when(ref.isNotNull(), present(encoded, kind))
+    offset = F.coalesce(F.sum(step).over(rows.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return restored(encoded, ref, offset, kind)
 
 
 def encoded_width(encoded: DataFrame, box: list[str] | None = None) -> DataFrame:
@@ -100,18 +159,18 @@ def float_width(df: DataFrame, column: str, box: list[str] | None = None) -> Dat
     """narrow_bytes of each box: the narrowest float that holds all its values exactly; 2 without any value."""
     box = box or []
     value = F.col(f"`{column}`").cast("double")
-    bits = df.select(*box, value.alias("_value"), float_bits(value).alias("_bits"))
-    widths = bits.select(*box, value_float_width(F.col("_value"), F.col("_bits")).alias("_width"))
-    return widths.groupBy(*box).agg(F.coalesce(F.max("_width"), F.lit(2)).cast("short").alias("narrow_bytes"))
+    bits = df.select(*box, value.alias("__tm_value"), float_bits(value).alias("__tm_bits"))
+    widths = bits.select(*box, value_float_width(F.col("__tm_value"), F.col("__tm_bits")).alias("__tm_width"))
+    return widths.groupBy(*box).agg(F.coalesce(F.max("__tm_width"), F.lit(2)).cast("short").alias("narrow_bytes"))
 
 
 def encode_tag(df: DataFrame, spec: TagSpec, ts: str, order: list[str], box: list[str] | None = None) -> DataFrame:
     """Rounds, then compresses, as the spec says; adds encoded (and ref, null without compression)."""
     value = F.col(f"`{spec.name}`")
-    work = df.withColumn("_stored", round_encode(value, spec.decimals) if spec.rounded else value)
+    work = df.withColumn("__tm_stored", round_encode(value, spec.decimals) if spec.rounded else value)
     if not spec.use_compression:
-        return work.withColumns({"ref": F.lit(None).cast(work.schema["_stored"].dataType), "encoded": F.col("_stored")}).drop("_stored")
-    return encode(work, "_stored", spec.mode, ts, order, box).drop("_stored")
+        return work.withColumns({"ref": F.lit(None).cast(work.schema["__tm_stored"].dataType), "encoded": F.col("__tm_stored")}).drop("__tm_stored")
+    return encode(work, "__tm_stored", spec.mode, ts, order, box).drop("__tm_stored")
 
 
 def decode_tag(df: DataFrame, spec: TagSpec, kind: T.DataType, ts: str, order: list[str], box: list[str] | None = None, name: str = "decoded") -> DataFrame:

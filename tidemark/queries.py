@@ -7,14 +7,17 @@ ordered by (o_orderdate, o_orderkey).
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import exceptions as E
 from tidemark.functions import units as U
 from tidemark.functions import widths as W
 from tidemark.functions.rounding import round_decode, round_encode
@@ -23,6 +26,7 @@ from tidemark.operators import codec as C
 from tidemark.operators import projection as P
 from tidemark.operators import timeindex as X
 from tidemark.plans import catalog as K
+from tidemark.session import shared_folder
 from tidemark.sources import container, store, tables
 
 BOX, TS, ORDER = ["event_type"], "ts", ["ts", "event_id"]
@@ -39,8 +43,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A fresh folder on storage that executors share, for round trips."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark"
-    path = f"{base.rstrip('/')}/trip-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/trip-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 
@@ -85,14 +88,16 @@ def delta_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     deltas = _orders_deltas(spark, sf_dir)
-    encoded = X.encode_deltas(deltas, X.delta_units(deltas))
+    encoded = X.encode_deltas(deltas, X.time_units(_read(spark, sf_dir, "orders"), O_TS))
     return encoded.where("delta is not null").select("o_orderkey", "unit", "delta")
 
 
 def time_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deltas = X.time_deltas(_events(spark, sf_dir), TS, ORDER, BOX)
-    encoded = X.encode_deltas(deltas, X.delta_units(deltas, BOX), BOX)
-    starts = X.box_span(_events(spark, sf_dir), TS, BOX)
+    """From the stored form: the running sum needs the deltas twice, so they are written, not computed again."""
+    events, path = _read(spark, sf_dir, "events").select("event_type", "ts", "event_id"), _folder(spark)
+    deltas = X.time_deltas(events, TS, ORDER, BOX)
+    X.encode_deltas(deltas, X.time_units(events, TS, BOX), BOX).drop("delta_us").write.parquet(path)
+    encoded, starts = spark.read.parquet(path), X.box_span(events, TS, BOX)
     return X.rebuild_times(encoded, starts, TS, ORDER, BOX).select("event_type", "event_id", F.col("rebuilt_ts").alias("ts"))
 
 
@@ -140,8 +145,15 @@ def unit_of_dtype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = _read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("text"))
-    return text.select("o_orderkey", F.to_timestamp_ntz("text", F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"))
+    """A frame with a text index in no order, and tags named like words of SQL and Python."""
+    pdf = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").toPandas().sort_values("o_orderkey", ascending=False)
+    text = pd.Index(pdf["o_orderdate"].dt.strftime("%Y-%m-%dT%H:%M:%S.%f"))
+    frame = pd.DataFrame({"as": pdf["o_orderkey"].to_numpy(), "by": pdf["o_orderkey"].to_numpy() % 7, "I": pdf["o_totalprice"].to_numpy()}, index=text)
+    return tables.from_pandas(spark, frame)
+
+
+def unit_from_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.time_units(_events(spark, sf_dir), TS, BOX)
 
 
 # --- codecs
@@ -259,7 +271,50 @@ def tag_option_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.validation_report(_events(spark, sf_dir), TS, "event_id", BOX)
+    """One box gets a row without a time."""
+    ts = F.when(F.col("event_id") == 0, None).otherwise(F.col("ts"))
+    return K.validation_report(_events(spark, sf_dir).withColumn("ts", ts), TS, "event_id", BOX)
+
+
+def _outcome(check: Callable[[], object]) -> str:
+    try:
+        check()
+    except (E.DataDoesNotMatchTagDefinitionError, E.DataShapeError, E.DateDataError, E.InvalidPandasDataTypeError,
+            E.InvalidPandasIndexError, E.TagIdentifierByteRepresentationError, E.CompressionError, E.CompressionModeInvalidError) as e:
+        return type(e).__name__
+    return "valid"
+
+
+def validation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of validation with a case that keeps it and one that breaks it, and what comes of it."""
+    events = _events(spark, sf_dir)
+    long_form = events.select("event_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("tag"))
+    units = X.delta_units(X.time_deltas(events, TS, ORDER, BOX), BOX)
+    n, day = events.count(), pd.DatetimeIndex(["2018-01-01", "2018-01-02"])
+    kinds = {"user_id": T.LongType(), "value": T.DoubleType()}
+    store_as = lambda declared: store.save(events, _folder(spark), TS, ORDER, BOX, declared=declared)
+    cases = {
+        ("tag has data", True): lambda: store_as({"value": T.DoubleType()}),
+        ("tag has data", False): lambda: store_as({"missing": T.DoubleType()}),
+        ("declared type", True): lambda: K.validate_schema(events, kinds),
+        ("declared type", False): lambda: K.validate_schema(events, {"value": T.FloatType()}),
+        ("length", True): lambda: K.validate_lengths(long_form, "tag", n),
+        ("length", False): lambda: K.validate_lengths(long_form, "tag", n + 1),
+        ("delta width", True): lambda: K.validate_deltas(units, 8),
+        ("delta width", False): lambda: K.validate_deltas(units, 0),
+        ("step", True): lambda: K.validate_step(1),
+        ("step", False): lambda: K.validate_step(0),
+        ("order", True): lambda: X.require_order(events, TS, "event_id", BOX),
+        ("order", False): lambda: X.require_order(_read(spark, sf_dir, "orders"), O_TS, "o_orderkey"),
+        ("numeric", True): lambda: K.tag_catalog(events, "event_type", "ts", "event_id"),
+        ("numeric", False): lambda: K.tag_catalog(events, "ts", "event_id"),
+        ("identifier width", True): lambda: K.check_identifier_bytes(28, True),
+        ("identifier width", False): lambda: K.check_identifier_bytes(27, True),
+        ("index", True): lambda: tables.from_pandas(spark, pd.DataFrame({"x": [1, 2]}, index=day)),
+        ("index", False): lambda: tables.from_pandas(spark, pd.DataFrame({"x": [1, 2]})),
+    }
+    rows = [(rule, kept, _outcome(check)) for (rule, kept), check in cases.items()]
+    return spark.createDataFrame(rows, "rule string, kept boolean, outcome string")
 
 
 # --- projections, filters, round trips
@@ -316,6 +371,102 @@ def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.read_headers(spark, path).groupBy("tag", "type_char", "bytes_per_value", "id_bytes", "n_tags").agg(F.sum("n_points").alias("n_points"))
 
 
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with nulls, NaN and infinities in every kind of tag, and longs of the full range."""
+    n = F.col("event_id")
+    far = F.when(n % 11 == 3, F.lit(2**63 - 1)).when(n % 11 == 4, F.lit(-(2**63))).when(n % 5 != 0, F.col("user_id"))
+    x = F.when(n % 7 == 0, F.lit(float("nan"))).when(n % 13 == 0, F.lit(float("inf"))).when(n % 3 != 0, F.col("value"))
+    y = F.when(n % 7 == 0, F.lit(float("nan"))).when(n % 3 != 0, F.col("value"))
+    small = F.when(n % 4 != 0, F.pmod(n, F.lit(100)) - 50).cast("int")
+    few = F.when(n % 6 != 1, F.col("user_id"))
+    return _events(spark, sf_dir).select(*BOX, *ORDER, far.alias("far"), few.alias("few"), x.alias("x"), y.alias("y"), small.alias("small"))
+
+
+def nulls_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the store in each mode."""
+    out = None
+    for mode in ("m", "e"):
+        path = _folder(spark)
+        specs = [C.TagSpec(t, use_compression=True, mode=mode) for t in ("far", "few", "x", "small")]
+        store.save(_gaps(spark, sf_dir), path, TS, ORDER, BOX, [*specs, C.TagSpec("y", use_compression=True, mode=mode, rounded=True, decimals=2)])
+        part = store.load(spark, path).select("event_id", F.lit(mode).alias("mode"), "far", "few", "x", "y", "small")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def nulls_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the column codecs over whole boxes."""
+    out = None
+    for mode in ("m", "e"):
+        part = _gaps(spark, sf_dir).select(*BOX, *ORDER, "few", "x")
+        for tag in ("few", "x"):
+            part = C.decode(C.encode(part, tag, mode, TS, ORDER, BOX), mode, TS, ORDER, BOX, f"{tag}_back").drop("ref", "encoded")
+        part = part.select("event_id", F.lit(mode).alias("mode"), F.col("few_back").alias("few"), F.col("x_back").alias("x"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def box_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes whose names look like numbers, are empty or missing, or need quoting."""
+    name = F.element_at(F.array(*map(F.lit, ("001", "1", "", "a/b=%", None))), (F.col("event_id") % 5 + 1).cast("int"))
+    path = _folder(spark)
+    store.save(_events(spark, sf_dir).withColumn("event_type", name), path, TS, ORDER, BOX)
+    return store.load(spark, path).select("event_type", "event_id", "value")
+
+
+def odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags named like the columns that the store and the operators make."""
+    path = _folder(spark)
+    names = {"user_id": "block", "value": "value__ref", "k": "k", "encoded": "encoded"}
+    odd = _events(spark, sf_dir).withColumns({"k": F.col("event_id"), "encoded": F.col("user_id") + 1}).withColumnsRenamed(names)
+    store.save(odd, path, TS, ORDER, BOX, [C.TagSpec(n, use_compression=True, mode="e") for n in names.values()])
+    return store.load(spark, path).select("event_id", *names.values())
+
+
+def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").groupBy(F.date_trunc("day", O_TS).cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+
+
+def container_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regular grid through files without stored times."""
+    grid = X.regular_grid(X.box_span(_small(spark, sf_dir), "ts"), 3_600)
+    series = grid.select(F.lit("g").alias("box"), "ts", X.to_micros("ts").alias("us"))
+    path = _folder(spark)
+    container.write_containers(series, path, "ts", ["ts"], "box", step_seconds=3_600).collect()
+    bare = container.read_headers(spark, path).where("deltas_stored or step_seconds <> 3600 and n_points > 1").count()
+    return container.read_containers(spark, path, {"us": T.LongType()}).select("ts", "us", F.lit(bare).alias("with_times"))
+
+
+def container_integer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags with numbers for names, and a tag called block beside them in a text file."""
+    path, texts = _folder(spark), _folder(spark)
+    events = _events(spark, sf_dir)
+    numbered = events.withColumnsRenamed({"user_id": "7", "value": "256"})
+    container.write_containers(numbered, path, TS, ORDER, "event_type", integer_ids=True).collect()
+    container.write_containers(events.select("event_type", *ORDER, F.col("event_id").alias("block")), texts, TS, ORDER, "event_type").collect()
+    heads = container.read_headers(spark, path).unionAll(container.read_headers(spark, texts))
+    found = container.read_containers(spark, path, {"7": T.LongType(), "256": T.DoubleType()}).agg(F.sum("7").alias("whole"), F.count("256").alias("points"))
+    blocks = container.read_containers(spark, texts, {"block": T.LongType()}).agg(F.sum("block").alias("blocks"))
+    kinds = heads.groupBy("tag", "id_bytes", "id_is_string").agg(F.sum("n_points").alias("n_points"))
+    return kinds.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(blocks))
+
+
+def pandas_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call each way between a frame and a file on the driver's machine."""
+    pdf = tables.to_pandas(_events(spark, sf_dir).select("ts", "event_id", "user_id", "value"))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "events.box")
+        tables.save_pandas(pdf, path, [C.TagSpec("user_id", use_compression=True, mode="e")])
+        return tables.from_pandas(spark, tables.load_pandas(path))
+
+
+def pickle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "events.pickle")
+        tables.write_pickle(_events(spark, sf_dir).select("ts", "event_id", "value"), path)
+        return tables.read_pickle(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -324,7 +475,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         unit_of_dtype, parse_times, codec_reference, codec_width, uint_width, sint_width, integer_coercion, float_width, float_diff_width,
         tag_catalog, type_table, identifier_width, box_catalog, box_size, option_bits, tag_option_bits, validation_report,
         tag_select_sorted, time_sorted, nan_filter, time_range_scan, parquet_roundtrip, csv_roundtrip, pandas_roundtrip, container_roundtrip,
-        container_headers,
+        container_headers, unit_from_times, validation_cases, nulls_roundtrip, nulls_codec, box_types, odd_names, container_grid, container_integer_ids,
+        pandas_file, pickle_roundtrip,
     )
 } | {
     "for_encode": _codec("m", False), "for_decode": _codec("m", True), "diff_encode": _codec("e", False), "diff_decode": _codec("e", True),
@@ -372,6 +524,11 @@ def _units() -> str:
     return ", ".join(f"('{u.name}', {u.code}, {u.nanoseconds}::BIGINT)" for u in U.UNITS)
 
 
+_FAR = f"CASE WHEN event_id % 11 = 3 THEN {2**63 - 1} WHEN event_id % 11 = 4 THEN -{2**63 - 1} - 1 WHEN event_id % 5 <> 0 THEN user_id END"
+_FEW = "CASE WHEN event_id % 6 <> 1 THEN user_id END"
+_X = "CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 13 = 0 THEN 'inf'::DOUBLE WHEN event_id % 3 <> 0 THEN value END"
+_Y = "CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 3 <> 0 THEN round_even(value * 100, 0) / 100 END"
+_SMALL = "CASE WHEN event_id % 4 <> 0 THEN (event_id % 100 - 50)::INTEGER END"
 _EVENTS = "SELECT event_type, ts, event_id, user_id, value FROM events"
 _DU = f"{_D}, u AS (SELECT event_type, {_unit_sql('d')} AS unit, coalesce(max(d), 0) AS most FROM d GROUP BY event_type)"
 _SIZES = f"{_DU}, b AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)"
@@ -394,7 +551,8 @@ ORACLE: dict[str, str] = {
     "unit_conversion": f"WITH u AS (SELECT * FROM (VALUES {_units()}) t(unit, code, ns)) SELECT a.unit AS from_unit, b.unit AS to_unit, a.ns::DOUBLE / b.ns AS multiplier FROM u a, u b",
     "unit_codes": f"SELECT code, unit, code AS back FROM (VALUES {_units()}) t(unit, code, ns)",
     "unit_of_dtype": f"SELECT unit, code FROM (VALUES {_units()}) t(unit, code, ns)",
-    "parse_times": "SELECT o_orderkey, date_trunc('second', o_orderdate) AS ts FROM orders",
+    "parse_times": 'SELECT o_orderdate AS ts, o_orderkey AS "as", o_orderkey % 7 AS "by", o_totalprice AS "I" FROM orders',
+    "unit_from_times": f"WITH {_DU} SELECT event_type, unit FROM u",
     "for_encode": "SELECT event_type, event_id, min(user_id) OVER p AS ref, user_id - min(user_id) OVER p AS encoded FROM events WINDOW p AS (PARTITION BY event_type)",
     "for_decode": "SELECT event_type, event_id, user_id FROM events",
     "diff_encode": f"SELECT event_type, event_id, first_value(user_id) OVER w AS ref, user_id - lag(user_id) OVER w AS encoded FROM events {_W}",
@@ -422,7 +580,22 @@ ORACLE: dict[str, str] = {
     "box_size": f"WITH {_SIZES}, z AS (SELECT event_type, n, ({_uwidth('(most // ' + _unit_us('unit') + ')')}) AS w FROM u JOIN b USING (event_type)) SELECT event_type, (9 + 2 * (28 + 40) + 8 + 3)::BIGINT AS header_bytes, ((n - 1) * w)::BIGINT AS delta_bytes_total, (n * 16)::BIGINT AS data_bytes, (156 + (n - 1) * w + n * 16)::BIGINT AS total_bytes FROM z",
     "option_bits": "SELECT i::INTEGER AS options, i & 1 = 1 AS id_is_string, (i >> 1) & 1 = 1 AS deltas_stored, i::INTEGER AS encoded FROM range(4) t(i)",
     "tag_option_bits": "SELECT i::INTEGER AS options, i & 1 = 1 AS use_compression, (i >> 1) & 1 = 1 AS use_hash_table, (i >> 2) & 1 = 1 AS rounded, i::INTEGER AS encoded FROM range(8) t(i)",
-    "validation_report": "SELECT event_type, count(*) AS n_points, count(*) - 1 AS n_deltas, count(*) FILTER (ts IS NULL) AS null_times, 0::BIGINT AS negative, true AS valid FROM events GROUP BY event_type",
+    "validation_report": """WITH e AS (SELECT event_type, event_id, CASE WHEN event_id <> 0 THEN ts END AS ts FROM events),
+        d AS (SELECT event_type, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id) AS d FROM e)
+        SELECT event_type, count(*) AS n_points, count(d) AS n_deltas, count(*) FILTER (ts IS NULL) AS null_times, count(*) FILTER (d < 0) AS negative,
+        count(d) = count(*) - 1 AND count(*) FILTER (ts IS NULL) = 0 AND count(*) FILTER (d < 0) = 0 AS valid FROM d GROUP BY event_type""",
+    "validation_cases": """SELECT rule, kept, CASE WHEN kept THEN 'valid' ELSE error END AS outcome FROM (VALUES
+        ('tag has data', 'DataDoesNotMatchTagDefinitionError'), ('declared type', 'DataDoesNotMatchTagDefinitionError'), ('length', 'DataShapeError'),
+        ('delta width', 'DateDataError'), ('step', 'DateDataError'), ('order', 'DateDataError'), ('numeric', 'InvalidPandasDataTypeError'),
+        ('identifier width', 'TagIdentifierByteRepresentationError'), ('index', 'InvalidPandasIndexError')) t(rule, error), (VALUES (true), (false)) k(kept)""",
+    "nulls_roundtrip": f"SELECT event_id, mode, {_FAR} AS far, {_FEW} AS few, {_X} AS x, {_Y} AS y, {_SMALL} AS small FROM events, (VALUES ('m'), ('e')) t(mode)",
+    "nulls_codec": f"SELECT event_id, mode, {_FEW} AS few, {_X} AS x FROM events, (VALUES ('m'), ('e')) t(mode)",
+    "box_types": "SELECT CASE event_id % 5 WHEN 0 THEN '001' WHEN 1 THEN '1' WHEN 2 THEN '' WHEN 3 THEN 'a/b=%' END AS event_type, event_id, value FROM events",
+    "odd_names": "SELECT event_id, user_id AS block, value AS value__ref, event_id AS k, user_id + 1 AS encoded FROM events",
+    "container_grid": "WITH d AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts FROM orders), g AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM d) SELECT ts, epoch_us(ts) AS us, 0::BIGINT AS with_times FROM g",
+    "container_integer_ids": "SELECT tag, id_bytes, id_is_string, count(*) AS n_points, sum(user_id)::BIGINT AS whole, count(*) AS points, sum(event_id)::BIGINT AS blocks FROM events, (VALUES ('7', 2, false), ('256', 2, false), ('block', 20, true)) t(tag, id_bytes, id_is_string) GROUP BY tag, id_bytes, id_is_string",
+    "pandas_file": "SELECT ts, event_id, user_id, value FROM events",
+    "pickle_roundtrip": "SELECT ts, event_id, value FROM events",
     "tag_select_sorted": 'SELECT event_id, ts AS "DateTimes", user_id, value FROM events',
     "time_sorted": "SELECT ts, event_id, value FROM events ORDER BY ts, event_id",
     "nan_filter": "SELECT event_id, value AS x FROM events WHERE event_id % 3 <> 0",

@@ -8,10 +8,12 @@ used only where version 1 would lose part of it.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -23,13 +25,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidemark.exceptions import CompressionModeInvalidError, DataShapeError, DateDataError
+from tidemark.exceptions import CompressionError, CompressionModeInvalidError, DataShapeError, DateDataError
 from tidemark.functions.types import identifier_bytes, numpy_type, spark_type, type_of_spark
 from tidemark.functions.units import MICRO_UNITS, unit
 from tidemark.functions.widths import signed_bytes, unsigned_bytes
 from tidemark.operators.codec import TagSpec
 from tidemark.operators.timeindex import with_block
 from tidemark.plans.catalog import check_identifier_bytes, pack_options, unpack_options
+from tidemark.session import qualified
 
 SECOND_STARTS, MICRO_STARTS = 1, 2
 _OPTION_BYTES = 32
@@ -88,8 +91,8 @@ def _narrow_floats(values: np.ndarray) -> np.ndarray:
 def compress(values: np.ndarray, mode: str) -> tuple[np.ndarray, np.generic | None]:
     """Narrow array and reference; the reference is null where a codec would not help and the values come back as they are.
 
-    Mode 'e' gives one value less. NaN stays out of the minimum and passes through 'm'; in 'e' a float column with
-    NaN is left alone.
+    Mode 'e' gives one value less. NaN stays out of the minimum and passes through 'm'; a float column with
+    infinities, or in 'e' with NaN, is left alone.
     """
     if mode not in ("m", "e"):
         raise CompressionModeInvalidError(f"codec mode {mode!r} is neither 'm' nor 'e'")
@@ -97,7 +100,7 @@ def compress(values: np.ndarray, mode: str) -> tuple[np.ndarray, np.generic | No
     if small or not len(values) or (mode == "e" and len(values) == 1):
         return values, None
     if values.dtype.kind == "f":
-        if mode == "e" and np.isnan(values).any():
+        if np.isinf(values).any() or (mode == "e" and np.isnan(values).any()):
             return values, None
         if np.isnan(values).all():
             return values.astype("<f2"), values.dtype.type(0)
@@ -164,6 +167,9 @@ def encode_file(times_us: np.ndarray, columns: dict[str, np.ndarray] | dict[int,
         tag = TagHeader(name, values.dtype.kind, values.dtype.itemsize, spec, spec.mode)
         stored = values
         if spec.rounded:
+            scaled = np.abs(values.astype(np.float64)) * 10.0**spec.decimals
+            if not (scaled < 2**63).all():
+                raise CompressionError(f"tag {name} can't be rounded: it holds NaN or numbers that no 64-bit integer stands for")
             stored = np.rint(values.astype(np.float64) * 10.0**spec.decimals).astype(np.int64)
         if spec.use_compression:
             stored, tag.ref = compress(stored, spec.mode)
@@ -303,30 +309,55 @@ def read_containers(spark: SparkSession, path: str, schema: dict[str, T.DataType
     return files.mapInArrow(run, fields)
 
 
-def write_containers(df: DataFrame, path: str, ts: str, order: list[str], box: str, specs: list[TagSpec] | None = None) -> DataFrame:
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path)
+
+
+def _box_folder(name: str, value: object) -> str:
+    """A folder name that stands for one box value: text is percent-encoded, a null is a lone sign that no text gives."""
+    return f"{quote(name, safe='')}={'%' if value is None else quote(str(value), safe='')}"
+
+
+def write_containers(
+    df: DataFrame, path: str, ts: str, order: list[str], box: str, specs: list[TagSpec] | None = None, step_seconds: int = 0, integer_ids: bool = False
+) -> DataFrame:
     """Write one file per box and day to the folder (or URI) ``path``; returns box, block, path, n_points, bytes.
 
-    Each file is written under a temporary name and then moved, so a lost task leaves no half file under a final name.
+    With ``step_seconds`` the files are regular grids without stored times (other times are an error); with ``integer_ids`` the
+    tags are named by numbers and stored so. The format has no null: a null time or a null in an integer column is an error, and a null
+    float is stored as NaN. A path without a scheme lies in the session's default file system. Each file is written under a temporary name
+    and then moved, so a lost task leaves no half file under a final name.
     """
     tags = sorted(c for c in df.columns if c not in {ts, box, *order})
-    kinds = {t: type_of_spark(df.schema[t].dataType) for t in tags}
-    by_name = {s.name: s for s in specs or []}
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        times = pdf[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
-        data = encode_file(times, {t: pdf[t].to_numpy().astype(numpy_type(*kinds[t])) for t in tags}, by_name)
-        system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        folder = f"{root}/{box}={key[0]}"
+    kinds = [type_of_spark(df.schema[t].dataType) for t in tags]
+    keys = [int(t) if integer_ids else t for t in tags]
+    by_name = {(int(s.name) if integer_ids else s.name): s for s in specs or []}
+    root_uri, at = qualified(df.sparkSession, path), f"o{order.index(ts)}"
+    by_order = [f"o{i}" for i in range(len(order))]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        value = None if pdf["b"].isna().iloc[0] else pdf["b"].iloc[0]
+        if pdf[at].isna().any():
+            raise DateDataError(f"box {value!r} has a null time")
+        pdf = pdf.sort_values(by_order, kind="stable")
+        columns = {}
+        for i, (tag, kind) in enumerate(zip(keys, kinds, strict=True)):
+            if kind[0] != "f" and pdf[f"t{i}"].isna().any():
+                raise DataShapeError(f"tag {tag} has a null in box {value!r}, which integer columns of a file can't hold")
+            columns[tag] = pdf[f"t{i}"].to_numpy().astype(numpy_type(*kind))
+        data = encode_file(pdf[at].to_numpy().astype("datetime64[us]").astype(np.int64), columns, by_name, step_seconds)
+        system, root = _file_system(root_uri)
+        folder, block = f"{root}/{_box_folder(box, value)}", int(pdf["k"].iloc[0])
         system.create_dir(folder, recursive=True)
-        final = f"{folder}/{key[1]}.box"
+        final = f"{folder}/{block}.box"
         with system.open_output_stream(f"{final}.tmp") as out:
             out.write(data)
         system.move(f"{final}.tmp", final)
-        return pd.DataFrame({"box": [str(key[0])], "block": [int(key[1])], "path": [final], "n_points": [len(pdf)], "bytes": [len(data)]})
+        name = None if value is None else str(value)
+        return pd.DataFrame({"box": [name], "block": [block], "path": [final], "n_points": [len(pdf)], "bytes": [len(data)]})
 
-    blocked = with_block(df.select(box, *order, *[f"`{t}`" for t in tags]), ts)
-    return blocked.groupBy(box, "block").applyInPandas(run, "box string, block long, path string, n_points long, bytes long")
+    plain = df.select(F.col(f"`{box}`").alias("b"), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)], *[F.col(f"`{t}`").alias(f"t{i}") for i, t in enumerate(tags)])
+    return with_block(plain, at, name="k").groupBy("b", "k").applyInPandas(run, "box string, block long, path string, n_points long, bytes long")
 
 
 class ContainerSource(DataSource):
@@ -337,8 +368,7 @@ class ContainerSource(DataSource):
         return "tidemark"
 
     def _files(self) -> list[str]:
-        path = self.options["path"]
-        system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        system, root = _file_system(_uri(self.options["path"]))
         found = system.get_file_info(fs.FileSelector(root, recursive=True)) if system.get_file_info(root).type == fs.FileType.Directory else [system.get_file_info(root)]
         return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".box"))
 
@@ -353,8 +383,13 @@ class ContainerSource(DataSource):
         return _Reader(self.options["path"], self._files(), schema)
 
 
+def _uri(path: str) -> str:
+    """The data source runs without a session, so it can't ask for the default file system: paths without a scheme are local."""
+    return path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
+
+
 def _load(path: str, file: str) -> bytes:
-    system = fs.FileSystem.from_uri(path)[0] if "://" in path or path.startswith("file:") else fs.LocalFileSystem()
+    system = _file_system(_uri(path))[0]
     with system.open_input_stream(file) as f:
         return f.read()
 

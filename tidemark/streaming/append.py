@@ -1,23 +1,28 @@
 """Appending a stream of points to a store of encoded blocks.
 
 Each micro-batch becomes blocks of its own with their own references, so encoding needs no state across batches.
-Late points form further blocks of their day; readers order by time, so nothing is rewritten.
+Late points form further blocks of their day; readers order by time, so nothing is rewritten. Columns of the stored
+blocks that are not the stream's own begin with ``tidemark_``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.codec import decode_over, encode_over
 from tidemark.operators.timeindex import with_block
 
+BLOCK, REF, ENCODED = "tidemark_block", "tidemark_ref", "tidemark_encoded"
+
 
 def encode_batch(batch: DataFrame, ts: str, box: list[str], tag: str) -> DataFrame:
-    """Adds block, ref (minimum of box and block in this batch) and encoded = tag - ref."""
-    blocked = with_block(batch, ts)
-    refs = blocked.groupBy(*box, "block").agg(F.min(f"`{tag}`").alias("ref"))
-    return blocked.join(refs, [*box, "block"]).withColumn("encoded", F.col(f"`{tag}`") - F.col("ref"))
+    """Adds the block, the reference (minimum of box and block in this batch) and the encoded tag."""
+    blocked = with_block(batch, ts, name=BLOCK)
+    part = Window.partitionBy(*box, BLOCK).orderBy(ts)
+    ref, encoded = encode_over(F.col(f"`{tag}`"), batch.schema[tag].dataType, "m", part)
+    return blocked.withColumns({REF: ref, ENCODED: encoded})
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, ts: str, box: list[str], tag: str) -> StreamingQuery:
@@ -27,12 +32,13 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, ts: str, box: l
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        encode_batch(batch, ts, box, tag).drop(tag).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        encode_batch(batch, ts, box, tag).drop(tag).write.mode("overwrite").parquet(f"{path}/tidemark_batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_appended(spark, path: str, tag: str) -> DataFrame:
-    """All points with the tag decoded."""
+    """All points with the tag decoded; integers of fewer than 8 bytes come back as long."""
     rows = spark.read.parquet(path)
-    return rows.withColumn(tag, F.col("encoded") + F.col("ref")).drop("encoded", "ref", "block", "batch")
+    value = decode_over(F.col(ENCODED), F.col(REF), rows.schema[ENCODED].dataType, "m", Window.partitionBy(BLOCK).orderBy(BLOCK))
+    return rows.withColumn(tag, value).drop(ENCODED, REF, BLOCK, "tidemark_batch")
