@@ -65,6 +65,21 @@ def test_shingle_sets_match_brute_force():
             assert len(sets[i] & sets[j]) == len(shingles(texts[i]) & shingles(texts[j]))
 
 
+def test_hashes_keep_unlike_words_apart():
+    """Words that agree under any polynomial hash modulo a power of two (Thue-Morse), and near ones of every length."""
+    pairs = []
+    for size in (1024, 2048, 4096):
+        signs = [bin(i).count("1") % 2 for i in range(size)]
+        pairs += ["".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)]
+    texts = pairs + [("x" * n)[:k] + "y" + ("x" * n)[k:] for n in range(40) for k in range(n + 1)] + ["a", "a\0", "a\0\0", "ab" * 8, "ba" * 8]
+    data, offsets = K.utf8(pa.array(texts))
+    hashes = K.span_hashes(data, offsets[:-1], offsets[1:])
+    assert len(set(hashes.tolist())) == len(set(texts))
+    data, offsets = K.utf8(pa.array([f"{'é ' * k}{t.upper()} z" for k, t in enumerate(texts)]))
+    again = K.span_hashes(data, offsets[:-1] + 3 * np.arange(len(texts)), offsets[1:] - 2)
+    assert (again == hashes).all()
+
+
 def test_slices_cover_all_rows():
     offsets = np.array([0, 5, 5, 30, 31, 100, 100])
     parts = list(K.slices(offsets, 10))

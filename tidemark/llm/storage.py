@@ -1,27 +1,19 @@
 """Durable intermediate tables in the folder that the cluster shares.
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; losing an executor never loses such a
-table. Only where that setting is absent (tests) a local folder is used instead.
+table. Only where that setting is absent and all runs on one machine (tests) a local folder is used instead.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_paths: list[tuple[SparkSession, str]] = []
-
+from tidemark.session import shared_folder
 
-def scratch_base(spark: SparkSession) -> str:
-    """The shared folder named by the session, or a temporary one that is then set in the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+_paths: list[tuple[SparkSession, str]] = []
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -32,7 +24,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; ``drop`` or program exit removes it."""
     spark = df.sparkSession
-    path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _paths.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -61,13 +53,3 @@ def _drop_all() -> None:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; free, used only to size tables and buckets."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def unused_name(df: DataFrame, stem: str) -> str:
-    """A column name starting with ``stem`` that ``df`` does not have (names are case-insensitive)."""
-    have = {c.lower() for c in df.columns}
-    name, k = stem, 0
-    while name.lower() in have:
-        k += 1
-        name = f"{stem}_{k}"
-    return name

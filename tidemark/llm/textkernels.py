@@ -13,7 +13,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
 #: Bytes of text handled at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -27,8 +26,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=U64))
-_BYTE_VALUE[65:91] = _BYTE_VALUE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything but ASCII letters and digits and non-ASCII characters, for words without punctuation.
@@ -36,20 +37,6 @@ PUNCTUATION = np.ones(256, bool)
 PUNCTUATION[128:] = False
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     PUNCTUATION[_a:_b] = False
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        both = []
-        for base in (_MULT, _INV):
-            step = np.full(size, U64(base))
-            step[0] = 1
-            both.append(np.multiply.accumulate(step))
-        _powers[:] = both
-    return _powers[0][:n], _powers[1][:n]
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -103,14 +90,27 @@ def word_bounds(
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span after lower-casing A-Z; equal spans at any place hash alike."""
-    n = len(data)
+    """Hash of each byte span after lower-casing A-Z; equal spans at any place hash alike.
+
+    Every eight bytes are mixed by themselves with their place before they are summed, so no arithmetic pattern of the text (a
+    polynomial of its bytes modulo a power of two, say) makes unlike spans alike.
+    """
     if len(starts) == 0:
         return np.zeros(0, U64)
-    power, inverse = _power_tables(n + 1)
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_VALUE[data] * power[:n], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data]
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix64((eights[starts] & _FIRST[np.minimum(size, 8)]) ^ U64(_MULT))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        pieces = (size[long] - 1) // 8
+        first = np.cumsum(pieces) - pieces
+        place = np.arange(int(pieces.sum())) - np.repeat(first, pieces) + 1
+        left = np.repeat(size[long], pieces) - 8 * place
+        value = eights[np.repeat(starts[long], pieces) + 8 * place] & _FIRST[np.minimum(left, 8)]
+        out[long] += np.add.reduceat(mix64(value ^ ((place + 1).astype(U64) * U64(_MULT))), first)
+    return mix64(out + size.astype(U64) * U64(_MULT))
 
 
 def window_hashes(words: np.ndarray, row_words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,10 +163,6 @@ def vocabulary(data: np.ndarray, offsets: np.ndarray):
     return hashes, starts[first], ends[first], ids.reshape(-1), row_words
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
 def word_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Code points of the words, A-Z lower-cased, each preceded by one space, and a last space."""
     sizes = ends - starts + 1
