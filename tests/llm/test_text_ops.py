@@ -192,10 +192,18 @@ def test_line_dedup_matches_brute_force(spark):
 
 def test_line_dedup_with_a_full_filter(spark):
     rows = [(i, "\n".join(f"line number {(i * 7 + k) % 3000}" for k in range(40))) for i in range(150)]
-    got = sorted(((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in line_dedup(frame(spark, rows), max_filter_bits=512).collect()), key=repr)
+    got = sorted(((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in line_dedup(frame(spark, rows), filter_bits=512).collect()), key=repr)
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_of_repeated_ids_and_long_texts(spark):
+    rows = [(1, "a shared long line"), (2, "unique line two\na shared long line"), (2, "A SHARED long line \nanother unique\nunique line two"), (2, None), (2, "")]
+    rows += [(3, "\n".join(f"number {k} of many" for k in range(30000))), (4, "\n".join(f"number {k} of many" for k in range(0, 60000, 2))), (5, "x" * 300_000), (6, "X" * 300_000)]
+    got = sorted(((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in line_dedup(frame(spark, rows)).collect()), key=repr)
+    assert got == brute_lines(rows)
+    assert {(x[0], x[3]) for x in got if x[0] == 2} == {(2, "unique line two"), (2, "another unique\nunique line two"), (2, None), (2, "")}
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

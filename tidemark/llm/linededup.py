@@ -3,14 +3,16 @@
 Pass 1 hashes every line and adds it to a "seen once" filter; a bit that a second document sets again goes
 to the "seen twice" filter. Partial filters travel as sorted bit positions and are merged page by page on
 the executors. Pass 2 tests every line against the merged "twice" filter, so only suspected repeats shuffle;
-an exact aggregate on their SHA-256 keys confirms them and picks the smallest document. The filter has at most
-``max_filter_bits`` bits (16 MB by default), so what is broadcast is bounded at any scale: beyond that size more
-lines are suspected, but the exact step keeps the result the same.
+an exact aggregate on their SHA-256 keys confirms them and picks the smallest document. The filter has
+``filter_bits`` bits (16 MB by default) at every size, so what is broadcast is bounded; it holds about 2**24 distinct lines (1 to 2 GB of
+text) with few false suspects. Beyond that ever more lines are suspected, at last all: their keys then shuffle once (44 bytes a line, combined
+before the shuffle), and the exact step keeps the result the same.
 
 Edge cases: a null or empty text is one empty line and is never changed; lines of fewer than ``min_chars``
 code points (after stripping) always stay; a row with a null id neither loses lines nor makes others lose
-any; rows that repeat an id count as one document; an input column named like an output column is replaced;
-an empty table gives an empty table.
+any; rows that repeat an id count as one document, and each loses its own lines whose key a smaller id has; a text of any length and number of
+lines is handled whole, in time linear in it; ties can't occur, as the smallest id keeps a line in all its rows; an input column named
+like an output column is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize, plan_bytes
+from tidemark.llm.storage import drop, materialize
 from tidemark.llm.textkernels import U64, distinct, slices, span_hashes, utf8
 
 PAGES = 64
+#: Bits of the filter (a power of two).
+FILTER_BITS = 1 << 27
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,32 +116,54 @@ def _merge_page(bits: int):
     return merge
 
 
-def _suspects(filter_bytes, bits: int, min_chars: int, text_at: int):
-    """Adds to each row the numbers and keys of lines that the "twice" filter suspects."""
+def _suspected(filter_bytes: np.ndarray, bits: int, min_chars: int, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By slice of rows: its bytes' start, its first row, and row, number in the row, key start and key end of each line that the filter suspects."""
+    for lo, hi in slices(offsets):
+        part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        rows, s, e, points = line_spans(part, offs)
+        long = np.flatnonzero(points >= min_chars)
+        hit = np.ones(len(long), bool)
+        for at in filter_positions(span_hashes(part, s[long], e[long]), bits):
+            hit &= (filter_bytes[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        lines = long[hit]
+        yield int(offsets[lo]), lo, rows[lines], lines - np.searchsorted(rows, rows[lines]), s[lines], e[lines]
+
+
+def _text_marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each whole text, which tells rows that repeat an id apart."""
+    parts = [span_hashes(data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], offsets[lo + 1 : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]
+    return np.concatenate([np.zeros(0, U64), *parts]).view(np.int64)
+
+
+def _suspect_lines(shared, bits: int, min_chars: int):
+    """One row for each suspected line of (id, body): id, mark of its text, line number, exact key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = filter_bytes.value
         for batch in batches:
-            data, offsets = utf8(batch.column(text_at))
-            numbers: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            keys: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-            for lo, hi in slices(offsets):
-                part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                rows, s, e, points = line_spans(part, offs)
-                first = np.searchsorted(rows, rows)
-                long = np.flatnonzero(points >= min_chars)
-                hit = np.ones(len(long), bool)
-                for at in filter_positions(span_hashes(part, s[long], e[long]), bits):
-                    hit &= (twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                raw = part.tobytes()
-                for i in long[hit].tolist():
-                    row = int(rows[i]) + lo
-                    numbers[row].append(i - int(first[i]))
-                    keys[row].append(hashlib.sha256(raw[s[i] : e[i]].lower()).digest())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.binary()))],
-                names=[*batch.schema.names, "lines", "keys"],
-            )
+            data, offsets = utf8(batch.column(1))
+            marks = _text_marks(data, offsets)
+            for base, lo, rows, numbers, s, e in _suspected(shared.value, bits, min_chars, data, offsets):
+                end = int(e.max()) if len(e) else 0
+                raw = data[base : base + end].tobytes().lower()  # ASCII letters only
+                keys = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows + lo)), pa.array(marks[rows + lo]), pa.array(numbers.astype(np.int32)), pa.array(keys, pa.binary())],
+                    names=["id", "mark", "line", "key"],
+                )
+
+    return run
+
+
+def _dirty(shared, bits: int, min_chars: int):
+    """Adds the mark of each row's text and whether any of its lines is suspected; the text is the second column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            dirty = np.zeros(batch.num_rows, bool)
+            for _, lo, rows, *_ in _suspected(shared.value, bits, min_chars, data, offsets):
+                dirty[rows + lo] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_text_marks(data, offsets)), pa.array(dirty)], names=[*batch.schema.names, "mark", "dirty"])
 
     return run
 
@@ -147,7 +173,7 @@ def line_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_chars: int = 10,
-    max_filter_bits: int = 1 << 27,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """``docs`` with ``text_col`` reduced to the lines that stay, and n_lines and n_dropped (long).
 
@@ -162,49 +188,41 @@ def line_dedup(
         docs[text_col].isNull().alias("was_null"),
         F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("none")]).alias("rest"),
     )
-    bits = PAGES * 8
-    while bits < min(max_filter_bits, max(1 << 20, plan_bytes(docs) // 16)):
-        bits *= 2
-    partial = base.select("body").mapInArrow(_partial_filters(bits, min_chars), "page int, once binary, twice binary")
-    pages = partial.groupBy("page").applyInPandas(_merge_page(bits), "page int, filter binary").collect()
-    twice = np.zeros(bits // 8, np.uint8)
-    size = bits // PAGES // 8
-    for row in pages:  # PAGES rows, max_filter_bits bits in all
+    partial = base.where("id is not null").select("body").mapInArrow(_partial_filters(filter_bits, min_chars), "page int, once binary, twice binary")
+    pages = partial.groupBy("page").applyInPandas(_merge_page(filter_bits), "page int, filter binary").collect()
+    twice = np.zeros(filter_bits // 8, np.uint8)
+    size = filter_bits // PAGES // 8
+    for row in pages:  # PAGES rows, filter_bits bits in all
         twice[row["page"] * size : (row["page"] + 1) * size] = np.frombuffer(row["filter"], np.uint8)
     shared = spark.sparkContext.broadcast(twice)
 
     narrow = base.select("id", "body").where("id is not null")
     kind = docs.schema[id_col].dataType.simpleString()
-    found = (
-        narrow.mapInArrow(
-            _suspects(shared, bits, min_chars, 1), f"id {kind}, body string, lines array<int>, keys array<binary>"
-        )
-        .select("id", F.explode(F.arrays_zip("lines", "keys")).alias("x"))
-        .select("id", F.col("x.lines").alias("line"), F.col("x.keys").alias("key"))
-    )
-    found = materialize(found, "lines")
+    found = materialize(narrow.mapInArrow(_suspect_lines(shared, filter_bits, min_chars), f"id {kind}, mark long, line int, key binary"), "lines")
     repeated = (
         found.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("other")).where("keeper < other")
     ).select("key", "keeper")
     repeated = materialize(repeated, "repeated")
-    lost = materialize(
-        found.join(repeated.hint("merge"), "key").where("id <> keeper").groupBy("id").agg(F.collect_set("line").alias("lost")), "lost"
-    )
+    lost = found.join(repeated.hint("merge"), "key").where("id <> keeper")
+    lost = materialize(lost.groupBy("id", "mark").agg(F.collect_set("line").alias("lost")), "lost")
+    drop(found, repeated)
     # Only documents that hold a suspect need the join; the others bypass the shuffle.
     marked = base.mapInArrow(
-        _suspects(shared, bits, min_chars, 1),
-        f"id {kind}, body string, was_null boolean, rest {base.schema['rest'].dataType.simpleString()}, lines array<int>, keys array<binary>",
-    ).select("id", "body", "was_null", "rest", ((F.size("lines") > 0) & F.col("id").isNotNull()).alias("dirty"))
-    clean = marked.where("not dirty").withColumn("lost", F.lit(None).cast("array<int>"))
-    # Always a shuffle join: a broadcast that fits small inputs would make cost jump with size.
-    dirty = marked.where("dirty").join(lost.hint("merge"), "id", "left")
-    whole = clean.select("id", "body", "was_null", "rest", "lost").unionAll(
-        dirty.select("id", "body", "was_null", "rest", "lost")
+        _dirty(shared, filter_bits, min_chars),
+        f"id {kind}, body string, was_null boolean, rest {base.schema['rest'].dataType.simpleString()}, mark long, dirty boolean",
     )
-    split = F.split("body", "\n", -1)
+    dirty = F.col("dirty") & F.col("id").isNotNull()
+    columns = ["id", "body", "was_null", "rest", "lost"]
+    clean = marked.where(~dirty).withColumn("lost", F.lit(None).cast("array<int>")).select(columns)
+    # Always a shuffle join: a broadcast that fits small inputs would make cost jump with size.
+    whole = clean.unionAll(marked.where(dirty).join(lost.hint("merge"), ["id", "mark"], "left").select(columns))
+    # A column of its own, lest it be split again for each line; the numbers that stay are found by hash, so long texts stay linear.
+    whole = whole.withColumn("split", F.split("body", "\n", -1))
+    split = F.col("split")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("lost"))
     kept = F.when(F.col("was_null"), None).when(
         F.col("lost").isNull(), F.col("body")
-    ).otherwise(F.concat_ws("\n", F.filter(split, lambda _, i: ~F.array_contains("lost", i))))
+    ).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: F.get(split, i))))
     made = {id_col: F.col("id"), text_col: kept}
     made |= {c: F.col(f"rest.c{i}") for i, c in enumerate(rest)}
     return whole.select(
