@@ -4,11 +4,13 @@ Plain spans come from four patterns, leftmost and non-overlapping per kind. Disg
 offset-preserving transducers: a one-to-one character map (homoglyphs, full-width forms, foreign digits), then a
 rewriting pass (zero-width characters vanish, spelled digits become digits, at/dot disguises become ``@`` and
 ``.``) that records where each piece came from. The same detectors run on the normalised text and each new span
-is mapped back to source code points. Only texts that hold a trigger are normalised; everything is per row, so
-there is no shuffle and no skew.
+is mapped back to source code points. Only texts that hold a trigger are normalised, and the triggers are made of the rewriting
+pass's own patterns; everything is per row, so there is no shuffle and no skew, and in time linear in the text.
 
-Edge cases: null text is empty and has no span; a span found in the normalised text counts only if some
-character in it was rewritten and it overlaps no plain span of its kind; an empty table gives an empty table.
+Edge cases: null and empty text have no span; a text of any length is handled whole; a span found in the normalised text
+counts only if some character in it was rewritten and it overlaps no plain span of its kind; where rewritings overlap, the one that starts first
+counts, and of those that start alike the first of ``_RANK``; rows that repeat, also with one id, are judged one by one, null ids stay;
+input columns other than id and text play no part in ``find_pii`` and are kept by ``redact``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -81,26 +83,101 @@ _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _TOP = "com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|it|nl|uk|us|ch|at|ca"
 _DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1", "S": "5", "B": "8", "Z": "2"}
 _LETTER_DIGIT = f"[0-9{''.join(_DIGIT_LETTERS)}]"
-_AT = r"\s*(?:[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]|&#(?:64|x40);|&commat;|(?<=\w)%40(?=\w))\s*"
-_DOT = r"\s*(?:[\[({<]\s*(?:dot|punto|punkt|point|\.)\s*[\])}>]|&#(?:46|x2e);|&period;)\s*"
-_GAP = r"(?:\s+|\s*[_*|~-]{1,3}\s*)"
-_BARE_AT, _BARE_DOT = rf"{_GAP}(?:at|arroba|arobase){_GAP}", rf"{_GAP}(?:dot|punto|punkt){_GAP}"
-_LABEL = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*?"
+# Every pattern is linear: a run of spaces is entered only at its start and never given back.
+_S = r"\s*+"
+_AT = rf"(?<!\s){_S}(?:[\[({{<]{_S}(?:at|arroba|arobase|@){_S}[\])}}>]|&#(?:64|x40);|&commat;|(?<=\w)%40(?=\w)){_S}"
+_DOT = rf"(?<!\s){_S}(?:[\[({{<]{_S}(?:dot|punto|punkt|point|\.){_S}[\])}}>]|&#(?:46|x2e);|&period;){_S}"
+_GAP = rf"(?:\s++|{_S}[_*|~-]{{1,3}}+{_S})"
+_BARE_AT, _BARE_DOT = rf"(?<!\s){_GAP}(?:at|arroba|arobase){_GAP}", rf"{_GAP}(?:dot|punto|punkt){_GAP}"
+_DIGITS_GAP = rf"(?:{_S}[,.()-]{{1,2}}+{_S}|\s++(?:(?:dot|punto|punkt|point)\s++)?+)"
 _PIECES = {
     "zero": rf"[{_ZERO_WIDTH}]+",
     "at": _AT,
     "dot": _DOT,
-    "digits": rf"(?<!\w)(?:(?:plus\s+)|\+\s*)?(?:{_WORD}|[0-9]+)(?:(?:\s*[,-]\s*|\s+)(?:{_WORD}|[0-9]+)){{3,}}(?!\w)",
-    "bare": rf"(?<![\w.%+-])[\w.%+-]+?{_BARE_AT}{_LABEL}(?:(?:{_BARE_DOT}|\.){_LABEL})*?{_BARE_DOT}[A-Za-z]{{2,}}(?:{_BARE_DOT}[A-Za-z]{{2,}})*(?![\w-])",
-    "wide": rf"(?<![\w.%+-])[\w.%+-]+\s*@\s*{_LABEL}(?:\s*\.\s*{_LABEL})*?\s*\.\s*(?:{_TOP})(?!\w)",
-    "dots": r"(?<!\w)[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?!\w)",
+    "digits": rf"(?<!\w)(?:plus\s++|\+{_S})?(?:{_WORD}|[0-9]+)(?:{_DIGITS_GAP}(?:{_WORD}|[0-9]+)){{3,}}(?!\w)",
     "mixed": rf"(?<![\w+])\+?{_LETTER_DIGIT}(?:[\s().-]{{0,2}}{_LETTER_DIGIT}){{6,}}(?!\w)",
 }
+_RANK = {kind: k for k, kind in enumerate(("zero", "at", "dot", "digits", "bare", "wide", "mixed"))}
 _REWRITE = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PIECES.items()), re.IGNORECASE)
-_BARE = re.compile(rf"{_GAP}(at|arroba|arobase|dot|punto|punkt){_GAP}", re.IGNORECASE)
-_WIDE = re.compile(r"\s*([@.])\s*")
-_DIGIT_TOKEN = re.compile(rf"(?P<plus>plus\s+|\+\s*)|(?P<word>{_WORD})|(?P<num>[0-9]+)", re.IGNORECASE)
-_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.IGNORECASE)
+_AT_WORD, _DOT_WORD = re.compile(rf"{_AT}|{_BARE_AT}|(?<!\s){_S}@{_S}", re.IGNORECASE), re.compile(f"{_DOT}|{_BARE_DOT}", re.IGNORECASE)
+_AT_SIGN = re.compile(f"{_AT}|@", re.IGNORECASE)
+_ALNUM, _SPACES = re.compile(r"[A-Za-z0-9]++"), re.compile(r"\s*+")
+_TOPS = frozenset(_TOP.split("|"))
+_DIGIT_TOKEN = re.compile(rf"(?P<plus>plus\s+|\+\s*)|(?P<word>{_WORD})|(?P<num>[0-9]+)|(?P<dot>dot|punto|punkt|point|\.)", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD}|dot|punto|punkt|point)(?!\w)", re.IGNORECASE)
+
+
+def _local(text: str, end: int, floor: int) -> int:
+    """Where the local part of an address that ends at ``end`` starts."""
+    while end > floor and (text[end - 1].isalnum() or text[end - 1] in "_.%+-"):
+        end -= 1
+    return end
+
+
+def _labels(text: str, at: int, limit: int, spelled: bool) -> list[tuple[int, int, int, int]]:
+    """The labels of a domain from ``at`` on: start and end of the separator before a label (equal for a plain dot), start and end of the label.
+
+    Separators are dots and, if ``spelled``, words for them; else dots with spaces around. One pass, nothing is tried twice.
+    """
+    out, m, sep = [], _ALNUM.match(text, at, limit), (at, at)
+    while m:
+        start, end = m.start(), m.end()
+        while True:  # labels may hold single hyphens, but "-dot-" parts them
+            word = _DOT_WORD.match(text, end, limit) if spelled else None
+            more = _ALNUM.match(text, end + 1, limit) if not word and text[end : end + 1] == "-" else None
+            if not more:
+                break
+            end = more.end()
+        out.append((*sep, start, end))
+        gap = end if spelled else _SPACES.match(text, end, limit).end()
+        if word:
+            sep = word.span()
+        elif text[gap : gap + 1] == "." and gap < limit:
+            sep = (gap, gap + 1) if spelled else (end, _SPACES.match(text, gap + 1, limit).end())
+        else:
+            break
+        m = _ALNUM.match(text, sep[1], limit)
+    return out
+
+
+Piece = tuple[int, int, str]
+
+
+def _spelled_addresses(text: str) -> Iterator[tuple[int, int, list[Piece]]]:
+    """Start, end and pieces (start, end, sign) of addresses with a sign or word for at and, last, a word for a dot."""
+    found, floor = list(_AT_WORD.finditer(text)), 0
+    for i, m in enumerate(found, 1):
+        start, limit = _local(text, m.start(), floor), found[i].start() if i < len(found) else len(text)
+        labels = _labels(text, m.end(), limit, True) if start < m.start() else []
+        floor, done = m.end(), 0
+        for k, (sa, sb, a, b) in enumerate(labels[1:], 1):
+            if sb - sa > 1 and b - a >= 2 and text[a:b].isalpha():
+                done = k
+                after = labels[k + 1] if k + 1 < len(labels) else None
+                if not (after and after[1] - after[0] > 1 and after[3] - after[2] >= 2 and text[after[2] : after[3]].isalpha()):
+                    if text[b : b + 1] == "-" or text[b : b + 1] == "_" or text[b : b + 1].isalnum():
+                        done = 0
+                        continue
+                    break
+        if done:
+            yield start, labels[done][3], [(m.start(), m.end(), "@"), *((a, b, ".") for a, b, _, _ in labels[1 : done + 1] if b - a > 1)]
+
+
+def _spaced_addresses(text: str) -> Iterator[tuple[int, int, list[Piece]]]:
+    """The same for addresses with spaces around the at sign or dots; the last label must be a common top domain."""
+    found, floor = list(_AT_SIGN.finditer(text)), 0
+    for i, m in enumerate(found, 1):
+        end, limit = m.start(), found[i].start() if i < len(found) else len(text)
+        while end > floor and text[end - 1].isspace():
+            end -= 1
+        start = _local(text, end, floor)
+        after = _SPACES.match(text, m.end()).end()
+        labels = _labels(text, after, limit, False) if start < end else []
+        for k, (_, _, a, b) in enumerate(labels[1:], 1):
+            if text[a:b].lower() in _TOPS and not (text[b : b + 1].isalnum() or text[b : b + 1] == "_"):
+                yield start, b, [(end, after, "@"), *((x, y, ".") for x, y, _, _ in labels[1 : k + 1])]
+                break
+        floor = m.end()
 
 
 def _class(chars: list[int]) -> str:
@@ -114,8 +191,8 @@ def _class(chars: list[int]) -> str:
 
 
 def _re2(pattern: str) -> str:
-    """``pattern`` in RE2 syntax, without its assertions: it matches wherever ``pattern`` does."""
-    pattern = re.sub(r"\(\?<?[=!][^()]*\)", "", pattern)
+    """``pattern`` in RE2 syntax, without its assertions and possessive signs: it matches wherever ``pattern`` does."""
+    pattern = re.sub(r"(?<!\\)([*+?}])\+", r"\1", re.sub(r"\(\?<?[=!][^()]*\)", "", pattern))
     wide = {r"\w": r"\p{L}\p{N}_", r"\s": r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"}  # RE2's own are ASCII only
     out, bracket = [], False
     for part in re.findall(r"\\.|.", pattern):
@@ -127,10 +204,14 @@ def _re2(pattern: str) -> str:
 _LETTER, _BETWEEN = f"(?-i:[{''.join(_DIGIT_LETTERS)}])", _re2(rf"(?:[\s().-]{{0,2}}[{''.join(_DIGIT_LETTERS)}])*[\s().-]{{0,2}}")
 #: What such a piece must also hold for rewriting to change it: a letter with only its like between it and a digit.
 _NEEDED = {"mixed": f"(?i)[0-9]{_BETWEEN}{_LETTER}|{_LETTER}{_BETWEEN}[0-9]"}
-#: What makes a text worth normalising: a character to map, or any piece of ``_REWRITE`` (RE2 syntax; linear time).
+#: What makes a text worth normalising: a character to map, any piece of ``_REWRITE``, a word for at, or spaces at the sign or dot of an
+#: address (RE2 syntax; linear time).
 _TRIGGERS = [
     (f"[{_class([*_CHARS, *map(ord, _ZERO_WIDTH)])}]",),
     *((f"(?i){_re2(p)}", *([_NEEDED[kind]] if kind in _NEEDED else [])) for kind, p in _PIECES.items() if kind != "zero"),
+    (f"(?i){_re2(_BARE_AT)}", f"(?i){_re2(f'{_DOT}|{_BARE_DOT}')}"),
+    (f"(?i){_re2(rf'@{_S}[A-Za-z0-9.-]+{_BARE_DOT}')}",),
+    (_re2(r"\s@|@\s|@[A-Za-z0-9.\s-]*(?:\s\.|\.\s)"),),
 ]
 
 Span = tuple[int, int]
@@ -214,44 +295,51 @@ class Normalised:
             if b > a:
                 put(mapped[a:b], a, -1)
 
-        for m in _REWRITE.finditer(mapped):
-            kind = m.lastgroup
-            if kind == "digits" and not _SPELLED.search(m[0]):
-                continue
-            if kind == "mixed" and not _mostly_digits(m[0]):
+        for start, end, kind, what in self._changes(mapped):
+            if start < done:
                 continue
-            copy(done, m.start())
+            copy(done, start)
             if kind == "zero":
-                put("", m.start(), m.end() - m.start())
+                put("", start, end - start)
             elif kind in ("at", "dot"):
-                put("@" if kind == "at" else ".", m.start(), m.end() - m.start())
-            elif kind == "digits":
-                for t in _DIGIT_TOKEN.finditer(m[0]):
-                    a = m.start() + t.start()
-                    if t.lastgroup == "plus":
-                        put("+", a, t.end() - t.start())
-                    elif t.lastgroup == "word":
-                        put(_DIGIT_WORDS[t[0].lower()], a, t.end() - t.start())
-                    else:
-                        copy(a, a + len(t[0]))
+                put("@" if kind == "at" else ".", start, end - start)
+            elif kind in ("bare", "wide"):
+                inner = start
+                for a, b, sign in what:
+                    copy(inner, a)
+                    put(sign, a, b - a)
+                    inner = b
+                copy(inner, end)
             elif kind == "mixed":
-                for i, c in enumerate(m[0], m.start()):
+                for i, c in enumerate(mapped[start:end], start):
                     if c in _DIGIT_LETTERS:
                         put(_DIGIT_LETTERS[c], i, 1)
                     else:
                         copy(i, i + 1)
             else:
-                inner = m.start()
-                for t in (_WIDE if kind == "wide" else _BARE).finditer(m[0]):
-                    copy(inner, m.start() + t.start())
-                    put("@" if t[1].lower() in ("@", "at", "arroba", "arobase") else ".", m.start() + t.start(), len(t[0]))
-                    inner = m.start() + t.end()
-                copy(inner, m.end())
-            done = m.end()
+                for t in _DIGIT_TOKEN.finditer(mapped, start, end):
+                    a = t.start()
+                    if t.lastgroup == "num":
+                        copy(a, t.end())
+                    else:
+                        put({"plus": "+", "dot": "."}.get(t.lastgroup) or _DIGIT_WORDS[t[0].lower()], a, t.end() - a)
+            done = end
         copy(done, len(mapped))
         self.text = "".join(pieces)
         self.mapped = mapped
 
+    @staticmethod
+    def _changes(text: str) -> list[tuple[int, int, str, list[Piece]]]:
+        """Start, end, kind and pieces of what is to be rewritten, leftmost first; of those that overlap the first counts."""
+        out: list[tuple[int, int, str, list[Piece]]] = []
+        for m in _REWRITE.finditer(text):
+            kind = m.lastgroup
+            if (kind != "digits" or _SPELLED.search(m[0])) and (kind != "mixed" or _mostly_digits(m[0])):
+                out.append((m.start(), m.end(), kind, []))
+        out += [(a, b, "bare", pieces) for a, b, pieces in _spelled_addresses(text)]
+        out += [(a, b, "wide", pieces) for a, b, pieces in _spaced_addresses(text)]
+        return sorted(out, key=lambda x: (x[0], _RANK[x[2]]))
+
     def back(self, start: int, end: int) -> tuple[int, int, bool]:
         """Source span of a normalised span, and whether any character in it was rewritten."""
         first = bisect.bisect_right(self.at, start) - 1
@@ -270,7 +358,8 @@ def added_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]
         out[kind] = []
         for s, e in spans:
             a, b, changed = norm.back(s, e)
-            if changed and not any(a < y and x < b for x, y in plain[kind]):
+            k = bisect.bisect_left(plain[kind], b, key=lambda x: x[0]) - 1  # the last plain span that starts before b
+            if changed and not (k >= 0 and plain[kind][k][1] > a):
                 out[kind].append((a, b))
     return out
 
