@@ -349,3 +349,16 @@ def test_odd_column_names(spark):
     for out in (line_dedup(df), mix(df), mark_matches(df, bench), score_documents(df)):
         assert out.columns[:5] == df.columns and out.count() >= 1
         assert {r["a.b"] for r in out.collect()} == {1}
+
+
+def test_ngram_join_of_templates_and_of_words_that_hash_alike(spark):
+    """Many documents of 80 % one template and 20 % own words link with nothing; unlike words of one polynomial hash stay apart."""
+    r = random.Random(2)
+    template = [f"t{i}" for i in range(160)]
+    rows = [(i, " ".join(template + [f"o{i}_{j}" for j in range(r.randint(36, 44))])) for i in range(1200)]
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    rows += [(5000, "".join("ab"[x] for x in signs)), (5001, "".join("ba"[x] for x in signs)), (5002, "".join("AB"[x] for x in signs))]
+    # A set of 3 shingles in one of 4: a similarity of exactly 0.75.
+    rows += [(6000, "e1 e2 e3 e4 e5 e6 e7"), (6001, "e1 e2 e3 e4 e5 e6 e7 e8"), (6002, "e1 e2 e3 e4 e5 e6 e7 e8 e9 e10")]
+    out = {x["doc_id"]: x["component_id"] for x in ngram_join(frame(spark, rows).repartition(4)).collect()}
+    assert {i: c for i, c in out.items() if i != c} == {5002: 5000, 6001: 6000}

@@ -5,17 +5,20 @@ bucket, to tasks that mark which of them two documents share; only the number of
 to each document. A document whose shared shingles are fewer than 75 % of its set links with nothing and is done.
 2. For the rest, exact 64-bit sets are made once; equal sets collapse into a class. 3. Classes order their
 shingles by class frequency (rare first); those of one class only can't match and just shorten the prefix.
-Classes with identical prefix and size form a group. 4. Group pairs that share a prefix shingle are candidates;
-they are expanded into members and verified by exact intersection.
+Classes with identical prefix and size form a group. 4. Group pairs that share a prefix shingle are candidates; they are filtered as groups:
+by size, by the place of the shared shingle, and by what is known to differ from both whole prefixes. Only pairs that pass are expanded into
+members and verified by exact intersection.
 
-Links only matter through the components they make, so a posting list of m groups need not give all m*m
-pairs: in some rounds each list compares its groups with one hub, links merge components, and lists whose
-members are all in one component are finished. What is left after the rounds is joined exactly, across
-components only, with length and position filters. No link that could join two components goes unchecked.
+Links only matter through the components they make, so near copies need not all be compared: in some rounds each posting list compares its
+groups with one hub, links merge components, and lists whose members are all in one component are finished. What is left after the
+rounds goes through the filters of step 4, across components only. Long posting lists and large groups are dealt into blocks whose pairs are
+tasks of their own. No link that could join two components goes unchecked.
 
 Edge cases: null, empty and word-less texts have no shingle and link with nothing; fewer than five words make one
-shingle of them all; rows with a null id get a null component; rows that repeat an id are judged by their
-own text; other input columns are not used; an empty table gives an empty table.
+shingle of them all; a very long text is handled whole, as a slice of its own; a similarity of exactly 0.75 links; ties between equally frequent
+shingles go by their hash, those between hubs by their id, and neither changes a component; rows with a null id get a null component;
+rows that repeat an id are judged by their own text, and their links count for the id; other input columns are not used; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components, merge_links
-from tidemark.llm.storage import drop, materialize, plan_bytes
+from tidemark.llm.storage import drop, materialize
 from tidemark.llm.textkernels import U64, shingle_sets, slices, utf8
 
 #: Shingles packed together by one task before they are sent out.
@@ -40,6 +43,10 @@ CHUNK_SHINGLES = 1_000_000
 BITS_EACH, STAY_BITS = 64, 1 << 26
 #: Rounds that compare with hubs before the exact rest.
 HUB_ROUNDS = 3
+#: Bytes of text whose shingles go to one bucket, and bits of the bucket number at most (2 TB of text at that size, larger buckets beyond).
+BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 20
+#: Groups of a posting list and members of a group that are compared in one cell of their joins.
+LIST_BLOCK, MEMBER_BLOCK = 1024, 256
 #: Bits of the parity signature of a set; sets that differ in d shingles have signatures that differ in d bits at most.
 PARITY_BITS = 512
 
@@ -201,6 +208,60 @@ def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
 _SIZES_FIT = "4 * least(na, nb) >= 3 * greatest(na, nb)"
 
 
+def _split_lists(post: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the self-join of posting lists, with (g, i, j) as the key: a list of c groups is dealt into c / LIST_BLOCK blocks, and
+    each pair of blocks is a cell of its own, so that a frequent shingle is no single task's."""
+    dealt = post.join(counts, "g").withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")))
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1)))
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "own")))
+    side = lambda df, x: df.select("g", "i", "j", *[F.col(c).alias(c + x) for c in ("gid", "n", "k", "lo", "hi")])
+    return side(left, "a"), side(right, "b")
+
+
+def _group_pairs(groups: DataFrame, spans: DataFrame) -> DataFrame:
+    """(ga, gb): pairs of groups, also of a group with itself, that may hold a link between two components.
+
+    ``spans`` gives each group's least and greatest component. Lists whose groups are all in one component are finished.
+    """
+    post = groups.select("gid", "n", "alone", F.posexplode("prefix.g").alias("at", "g")).join(spans, "gid")
+    post = post.select("gid", "n", "g", (F.col("alone") + F.col("at")).alias("k"), "lo", "hi")
+    counts = post.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.ceil(F.count("*") / LIST_BLOCK).alias("blocks")).where("lo <> hi")
+    counts = materialize(counts.select("g", "blocks"), "open")
+    post = materialize(post.join(counts.select("g"), "g", "left_semi"), "rest")
+    a, b = _split_lists(post, counts)
+    # Jaccard >= 3/4 needs 3/7 of the summed sizes in common, so at most 1/7 of it differs.
+    need = F.ceil((F.col("na") + F.col("nb")) * 3 / 7)
+    pairs = (
+        a.join(b, ["g", "i", "j"]).where("i < j or gida <= gidb").where("not (loa = hia and lob = hib and loa = lob)").where(_SIZES_FIT)
+        .where(F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= need)
+        .select(F.least("gida", "gidb").alias("ga"), F.greatest("gida", "gidb").alias("gb")).distinct()
+    )
+    side = lambda x: groups.select(F.col("gid").alias(f"g{x}"), *[F.col(c).alias(c + x) for c in ("n", "alone", "prefix")])
+    both = pairs.join(side("b"), "gb").join(side("a"), "ga")
+    # Up to the lesser of the last prefix shingles both sets are known: what only one of them has there differs for certain.
+    known = F.least(F.element_at("prefixa", -1), F.element_at("prefixb", -1))
+    only = lambda x, y: F.size(F.filter(F.array_except(x, y), lambda t: t <= F.col("known")))
+    both = both.withColumn("known", known)
+    differ = F.col("alonea") + F.col("aloneb") + only("prefixa", "prefixb") + only("prefixb", "prefixa")
+    out = materialize(both.where(differ * 7 <= F.col("na") + F.col("nb")).select("ga", "gb"), "group_pairs")
+    drop(post, counts)
+    return out
+
+
+def _member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (a, b) of different components of the surviving group pairs, by blocks of members, as far as their parities allow a link."""
+    sizes = members.groupBy("gid").agg(F.ceil(F.count("*") / MEMBER_BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    cells = pairs.join(sizes.toDF("ga", "ba"), "ga").join(sizes.toDF("gb", "bb"), "gb")
+    cells = cells.withColumn("ia", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ba") - 1)))
+    cells = cells.withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bb") - 1))).where("ga < gb or ia <= ib").select("ga", "gb", "ia", "ib")
+    side = lambda x: dealt.select(F.col("gid").alias(f"g{x}"), F.col("block").alias(f"i{x}"), *[F.col(c).alias(c + x) for c in ("rep", "n", "component", "parity")])
+    both = cells.join(side("a"), ["ga", "ia"]).join(side("b"), ["gb", "ib"]).where("componenta <> componentb").where("ga < gb or ia < ib or repa < repb")
+    differ = sum((F.bit_count(F.col("paritya")[i].bitwiseXOR(F.col("parityb")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    both = both.where(differ * 7 <= F.col("na") + F.col("nb"))
+    return both.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"))
+
+
 def class_components(classes: DataFrame) -> DataFrame:
     """From (rep, n, parity, grams) of distinct sets: (node, component) of every rep that links with another."""
     grams = classes.select("rep", F.explode("grams").alias("g"))
@@ -210,14 +271,14 @@ def class_components(classes: DataFrame) -> DataFrame:
         classes.select("rep", "n", "parity")
         .join(ranked, "rep")
         .where("4 * size(ranked) >= 3 * n")
-        .select("rep", "n", "parity", F.col("ranked.g").alias("toks"))
-        # Tokens of one class only come first and match nothing: what remains of the prefix starts after them.
-        .withColumn("prefix", F.expr("slice(toks, 1, size(toks) - cast(ceil(3 * n / 4) as int) + 1)"))
+        # Shingles of one class only come first and match nothing: what remains of the prefix starts after them.
+        .withColumn("leading", F.expr("slice(ranked, 1, size(ranked) - cast(ceil(3 * n / 4) as int) + 1)"))
+        .select("rep", "n", "parity", F.col("ranked.g").alias("toks"), F.col("leading.g").alias("prefix"), "leading", (F.col("n") - F.size("ranked")).alias("alone"))
         .withColumn("gkey", F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>")), 256))
     )
     items = materialize(items, "items")
     drop(freq)
-    groups = items.groupBy("gkey").agg(F.min("rep").alias("leader"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = items.groupBy("gkey").agg(F.min("rep").alias("leader"), *[F.first(c).alias(c) for c in ("n", "alone", "prefix", "leading")])
     groups = materialize(groups, "groups")
     first = items.join(groups.select("gkey", "leader"), "gkey").where("rep <> leader")
     links = materialize(_verified(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")), items), "inner")
@@ -246,29 +307,14 @@ def class_components(classes: DataFrame) -> DataFrame:
         if not found.limit(1).count():
             break
         labels = merge_links(labels, found)
-    # The rest, member by member: prefix shingles that still lie in more than one component.
-    post = (
-        items.select("rep", "n", "parity", (F.col("n") - F.size("toks")).alias("alone"), F.posexplode("prefix").alias("k", "g"))
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("g", "rep", "n", "parity", (F.col("alone") + F.col("k")).alias("k"), F.coalesce("component", "rep").alias("comp"))
-    )
-    open_ = post.groupBy("g").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("g")
-    open_ = materialize(open_, "open")
-    post = materialize(post.join(open_, "g", "left_semi"), "rest")
-    drop(open_)
-    side = lambda x, who: post.select("g", F.col("rep").alias(who), *[F.col(c).alias(c + x) for c in ("n", "k", "comp", "parity")])
-    # Jaccard >= 3/4 needs 3/7 of the summed sizes in common, so at most 1/7 of it differs.
-    need = F.ceil((F.col("na") + F.col("nb")) * 3 / 7)
-    differ = sum((F.bit_count(F.col("paritya")[i].bitwiseXOR(F.col("parityb")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
-    pairs = (
-        side("a", "a").join(side("b", "b"), "g")
-        .where("compa < compb").where(_SIZES_FIT)
-        .where(F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= need)
-        .where(differ * 7 <= F.col("na") + F.col("nb"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    found = materialize(_verified(pairs, items), "found")
-    drop(post, items, groups)
+    # The rest: pairs of groups that pass the filters, expanded into members of different components.
+    members = items.select("rep", "gkey", "n", "parity").join(groups.select("gkey", F.col("leader").alias("gid")), "gkey")
+    members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", "n", "parity", F.coalesce("component", "rep").alias("component"))
+    members = materialize(members, "members")
+    spans = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    pairs = _group_pairs(groups.select(F.col("leader").alias("gid"), "n", "alone", F.col("leading").alias("prefix")), spans)
+    found = materialize(_verified(_member_pairs(pairs, members), items), "found")
+    drop(items, groups, members, pairs)
     return merge_links(labels, found)
 
 
@@ -278,8 +324,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    size = base.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bits = 5
-    while bits < 18 and (2 << 20) << bits < plan_bytes(docs):
+    while bits < MOST_BUCKETS and BUCKET_BYTES << bits < size:
         bits += 1
     sent = base.mapInArrow(
         _send(width, bits, id_type), f"bucket int, chunk long, digest binary, doc binary, ids array<{kind}>, sizes array<int>"
