@@ -243,6 +243,29 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_embeddings_over_several_shards(spark, kind):
+    """Every block meets every shard: with small shards the same links are found, and repeated ids keep all their vectors."""
+    x, label = vectors(3)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"v{i:05d}")
+    rows = [(name(i), [float(v) for v in x[i]], str(label[i])) for i in range(len(x))]
+    rows += [(name(0), rows[40][1], rows[40][2]), rows[5]]  # another vector of one id; an equal row
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label)
+    near[0] |= (near[40]) & (np.arange(len(x)) != 0)
+    near[0, 40] = True
+    near[:, 0] |= near[0]
+    np.fill_diagonal(near, False)
+    report = {}
+    df = spark.createDataFrame(rows, f"vec_id {kind}, embedding array<float>, label string")
+    got = embedding_dedup(df, shard_vectors=90, block_vectors=40, report=report).collect()
+    assert len(got) == len(rows) and report["found"] >= 0.99 * report["true"] > 0
+    by_id = {r["vec_id"]: r for r in got}
+    assert 0.99 * near.sum() <= sum(by_id[name(i)]["n_links"] for i in range(len(x))) <= near.sum()
+    want = brute_components([(i, j) for i, j in zip(*np.nonzero(near)) if i < j], list(range(len(x))))
+    assert {i: by_id[name(i)]["component_id"] for i in range(len(x))} == {i: name(int(want[i])) for i in range(len(x))}
+
+
 def test_graph_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
