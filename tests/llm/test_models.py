@@ -322,6 +322,25 @@ def test_mixing(spark):
     assert mix(docs.where("false")).count() == 0 and mix(docs, budget_tokens=0).count() == 0
 
 
+def test_mixing_matches_its_sql(spark, tmp_path):
+    """Odd rows and repeated ids, against the query's SQL, also where a block's end falls into a few rows."""
+    import duckdb
+
+    from tidemark.llm.queries import _mix_sql
+
+    r = random.Random(4)
+    rows = [(i % 700, r.choice(["hot", "hot", "a", "b", None]), r.choice([None, "", "w " * r.randint(1, 30)])) for i in range(900)]
+    rows += [(i % 3, "same", "one two") for i in range(60)]
+    docs = spark.createDataFrame([x for x in rows], "doc_id long, source string, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    for blocks in (1, 7):
+        want = con.sql(_mix_sql(blocks=blocks)).fetchall()
+        got = [tuple(x) for x in mix(docs, n_blocks=blocks).select("doc_id", "source", "n_tokens", "epoch", "block_rank").collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 500
+
+
 def brute_rule(url):
     found = re.search(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda m: m[0].lower(), found[1]), found[2]) if found else ("", "")

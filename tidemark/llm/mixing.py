@@ -4,13 +4,14 @@ Each source's token share p is raised to an exponent a in [0, 1] and normalised.
 whose weights reach the target entropy (a share of the log of the number of sources), then, if a source would be
 repeated more than ``max_repeats`` times, raises a until none is (a = 1 repeats all sources alike). A source's
 budget is its weight times the token budget: whole epochs, then a partial epoch that takes its blocks in a
-keyed permutation until the budget is spent; only the one block where it ends is resolved document by
-document. A source with a third of all rows is spread over ``n_blocks`` blocks, so no task gets it whole.
+keyed permutation until the budget is spent; in the one block where it ends, documents are taken in the order of their keys. A source with
+a third of all rows is spread over ``n_blocks`` blocks, so no task gets it whole. Texts are read twice: to count their words, and to give
+them out with what the plan, one row per source and block, says.
 
 Edge cases: a null source is a source of its own; null and empty texts have no tokens and go along with
-their block; a document that would exceed what is left of the budget is not taken; sources without tokens get
-no weight and no rows; rows that repeat an id are taken one by one; input columns named like output columns
-are replaced; an empty table gives an empty table.
+their block; a text of any length is counted whole; a document that would exceed what is left of the budget is not taken, nor is any after
+it; sources without tokens get no weight and no rows; sources of equal size get equal weights; rows that repeat an id lie in one block, and those
+equal in id and number of tokens are taken alike; input columns named like output columns are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import drop, materialize
 from tidemark.llm.textkernels import slices, utf8, word_bounds
 
 #: Most sources whose totals are solved on the driver; more are summed by Spark at each step.
@@ -106,6 +107,25 @@ def _key(seed: int, *what) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *what)), 1, 8), 16, 10).cast("long")
 
 
+def _edges(counts: DataFrame, steps: DataFrame) -> DataFrame:
+    """Where each source's last, partly taken block ends: (es, eb) name it, rows whose key is less than ``all_below`` are taken, and of
+    the rest those up to ``last`` (key, id, tokens).
+
+    Keys are cut into 1,024 ranges first, whose sums show the one range where the budget ends; only its rows, about a millionth of a
+    source, are ordered. Rows equal in key, id and tokens are taken together or not at all.
+    """
+    rows = counts.join(steps.select("s", "b", "left"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    rows = rows.select("s", "b", "left", "row_key", "id", "n_tokens", F.shiftright("row_key", 22).alias("range"))
+    ranges = rows.groupBy("s", "b", "left", "range").agg(F.sum("n_tokens").alias("size"))
+    so_far = F.sum("size").over(Window.partitionBy("s", "b").orderBy("range"))
+    ranges = ranges.withColumn("upto", so_far).where("upto > left and upto - size <= left")
+    ends = ranges.select(F.col("s").alias("es"), F.col("b").alias("eb"), F.col("range").alias("er"), (F.col("left") - F.col("upto") + F.col("size")).alias("rest"))
+    inside = rows.join(ends, F.col("s").eqNullSafe(F.col("es")) & (F.col("b") == F.col("eb")) & (F.col("range") == F.col("er")))
+    spent = F.sum("n_tokens").over(Window.partitionBy("es", "eb").orderBy("row_key", "id", "n_tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.max(F.when(F.col("spent") <= F.col("rest"), F.struct("row_key", "id", "n_tokens"))).alias("last")
+    return inside.withColumn("spent", spent).groupBy("es", "eb").agg(F.shiftleft(F.first("er"), 22).alias("all_below"), last)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -135,10 +155,10 @@ def mix(
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
         return frame.mapInArrow(_count_words(0), f"{kinds}, n_tokens long").withColumn("block", block)
 
-    sizes = materialize(
-        counted(base.select("body", "id", "source")).groupBy("source", "block").agg(F.sum("n_tokens").alias("size")),
-        "blocks",
-    )
+    row_key = _key(seed, F.lit("row"), word("id"))
+    # Numbers without texts; what follows up to the plan reads only these.
+    counts = materialize(counted(base.select("body", "id", "source")).select("source", "block", "id", "n_tokens", row_key.alias("row_key")), "counts")
+    sizes = materialize(counts.groupBy("source", "block").agg(F.sum("n_tokens").alias("size")), "blocks")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("tokens"))
     plan = source_weights(totals, budget_tokens, entropy_share, max_repeats).select(
         F.col("source").alias("s"),
@@ -156,24 +176,17 @@ def mix(
         .where("whole > 0 or left > 0")
     )
     steps = materialize(steps, "steps")
+    edges = materialize(_edges(counts, steps.where("left > 0 and left < size")), "edges")
+    drop(counts, sizes)
+    steps = steps.join(edges, F.col("s").eqNullSafe(F.col("es")) & (F.col("b") == F.col("eb")), "left").drop("es", "eb")
     if steps.count() <= BROADCAST_ROWS:
         steps = F.broadcast(steps)
     placed = counted(base.select("body", "id", "source", "rest")).join(
         steps, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
     )
-    inside = placed.where("left <= 0 or left >= size").withColumn(
-        "copies", F.col("whole") + (F.col("left") > 0).cast("long")
-    )
-    # The last block of each source: one of n_blocks, resolved document by document.
-    in_block = Window.partitionBy("source").orderBy(_key(seed, F.lit("row"), word("id")), "id", "n_tokens")
-    spent = F.sum("n_tokens").over(in_block.rowsBetween(Window.unboundedPreceding, 0))
-    edge = (
-        placed.where("left > 0 and left < size")
-        .withColumn("spent", spent)
-        .withColumn("copies", F.col("whole") + (F.col("spent") <= F.col("left")).cast("long"))
-        .drop("spent")
-    )
-    taken = inside.unionByName(edge).where("copies > 0")
+    up_to = F.coalesce(F.struct(row_key, "id", "n_tokens") <= F.col("last"), F.lit(False))
+    partly = F.when(F.col("left") <= 0, False).when(F.col("left") >= F.col("size"), True).otherwise((row_key < F.col("all_below")) | up_to)
+    taken = placed.withColumn("copies", F.col("whole") + partly.cast("long")).where("copies > 0")
     taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     made_of = {id_col.lower(): F.col("id"), text_col.lower(): F.col("body"), source_col.lower(): F.col("source")}
     made_of |= {c.lower(): F.col(f"rest.c{i}") for i, c in enumerate(rest)}

@@ -119,7 +119,7 @@ p AS (SELECT source, budget // tokens AS whole, budget % tokens AS part FROM w),
 o AS (SELECT b.*, row_number() OVER q AS block_rank, coalesce(sum(size) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM b WINDOW q AS (PARTITION BY source ORDER BY {key("'order'", "coalesce(source, '')", "block::VARCHAR")}, block)),
 x AS (SELECT d.*, block_rank, whole, part - before AS left_, size,
-    sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY {key("'row'", "coalesce(d.doc_id::VARCHAR, '')")}, d.doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS spent
+    sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY {key("'row'", "coalesce(d.doc_id::VARCHAR, '')")}, d.doc_id, n_tokens RANGE UNBOUNDED PRECEDING) AS spent
   FROM d JOIN o ON d.block = o.block AND d.source IS NOT DISTINCT FROM o.source JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 c AS (SELECT *, whole + CASE WHEN left_ <= 0 THEN 0 WHEN left_ >= size THEN 1 WHEN spent <= left_ THEN 1 ELSE 0 END AS copies FROM x)
 SELECT doc_id, source, n_tokens, unnest(range(copies::BIGINT)) AS epoch, block_rank::INTEGER AS block_rank FROM c"""
