@@ -88,6 +88,34 @@ def test_language_model(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_copies_and_unseen_words_score_apart(spark):
+    """A text that occurs twice is likelier than one that occurs once; one of nonsense is less likely still; the score is a brute-force sum."""
+    from tidemark.llm.lmscore import OTHER, _contexts, train_network
+    from tidemark.llm.textkernels import utf8, vocabulary
+
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(4200)]
+    once = lambda i: " ".join(r.choice(common) if k % 4 else f"rare{i}x{k}" for k in range(60))
+    rows = [(i, once(i)) for i in range(900)]
+    rows += [(10_000 + i, t) for i, t in rows[:90]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["mean_pll"] for x in score_documents(docs).collect()}
+    twice = [got[i] for i in range(90)]
+    cut = sorted(got[i] for i in range(90, 900))[-81]
+    assert sum(x > cut for x in twice) >= 0.8 * 90
+    net, rare = train_network(docs.select("text", F.lit(0)))
+    import pyarrow as pa
+
+    data, offsets = utf8(pa.array([rows[0][1], "zzz unseen " * 5]))
+    hashes, _, _, ids, bounds = vocabulary(data, offsets)
+    tokens = net.tokens(hashes)[ids]
+    log_p = net.log_probability(_contexts(tokens, bounds), tokens) + np.where(tokens < OTHER, rare.log_share(hashes[ids]), 0)
+    assert log_p[: bounds[1]].mean() > log_p[bounds[1] :].mean() + 1
+    # Of each id the shares of all cells sum to one.
+    share = np.exp(rare.log_share(np.arange(len(rare.cells), dtype=np.uint64)))
+    np.testing.assert_allclose(share.reshape(-1, OTHER).sum(0), 1, rtol=1e-6)
+
+
 def test_language_model_trains_on_every_document(spark, monkeypatch):
     from tidemark.llm import lmscore
 
@@ -114,13 +142,34 @@ def test_network_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     net = Network(np.sort(rng.integers(0, 2**63, 50).astype(np.uint64)), np.ones(50), 100)
     context, target = rng.integers(0, 300, (4, 256)), rng.integers(0, 300, 256)
-    before = net.forward(context, target)[3].mean()
+    before = net.log_probability(context, target).mean()
     for _ in range(20):
         net.step(context, target, 0.2)
-    assert net.forward(context, target)[3].mean() > before + 0.1
-    _, pc, pw, _ = net.forward(context, target)
-    np.testing.assert_allclose(pc.sum(1), 1, rtol=1e-4)
-    np.testing.assert_allclose(pw.sum(1), 1, rtol=1e-4)
+    assert net.log_probability(context, target).mean() > before + 0.1
+    _, both, log_p = net.forward(context, target)
+    np.testing.assert_allclose(both.reshape(256, 2, -1).sum(2), 1, rtol=1e-4)
+    at, n = np.arange(256), both.shape[1] // 2
+    np.testing.assert_allclose(np.log(both[at, target % n] * both[at, n + target // n]), log_p, rtol=1e-3)
+
+
+def test_network_gradient_matches_differences():
+    """One step moves each parameter against the numerical gradient of the loss."""
+    rng = np.random.default_rng(1)
+    net = Network(np.sort(rng.integers(0, 2**63, 50).astype(np.uint64)), np.ones(50), 100)
+    net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    context, target = rng.integers(0, 300, (4, 8)), rng.integers(0, 300, 8)
+    start = {k: x.copy() for k, x in net.p.items()}
+    net.step(context, target, 1e-3)
+    moved = {k: (start[k] - net.p[k]) * np.sqrt(8) / 1e-3 for k in start}
+    net.p = start
+    for k, x in start.items():
+        for at in rng.choice(x.size, 6) if k != "e" else [int(context[s, i]) * x.shape[2] + s * x.shape[1] * x.shape[2] + 3 for s in range(4) for i in range(2)]:
+            flat, loss = x.reshape(-1), []
+            for d in (1e-5, -2e-5):
+                flat[at] += d
+                loss.append(-net.log_probability(context, target).sum())
+            flat[at] += 1e-5
+            assert abs((loss[0] - loss[1]) / 2e-5 - moved[k].reshape(-1)[at]) < 1e-3 * (1 + abs(moved[k].reshape(-1)[at])), k
 
 
 def brute_align(w, x):

@@ -2,13 +2,16 @@
 
 A token is predicted from the two words on each side: position-wise embeddings are summed, passed through tanh, and a
 two-level softmax (class, then word within the class) gives its probability. Vocabulary: the most frequent words of the
-whole corpus, counted over all documents, plus hashed buckets for all other words. Training is data-parallel: every
+whole corpus, counted over all documents, have ids of their own; all other words share ids by hash, and the probability of such an id is
+split among its words by their own counts in the corpus, with a little left for unseen ones. The table of these counts grows with the
+vocabulary, to 2**23 cells; words of one cell then count together. Training is data-parallel: every
 document is trained on once, copies too, in one of ``ROUNDS`` rounds by a hash of its numbers and strings other than the
 text. Parameters are averaged on the executors, weighted by tokens, and the next round starts from the average.
-Scoring is one pass over whole texts with no shuffle; the model that is broadcast has a fixed size.
+Scoring is one pass over whole texts with no shuffle; the model that is broadcast has a bounded size.
 
-Edge cases: null, empty and word-less texts have 0 tokens, a sum of 0 and a mean of 0; rows that repeat are
-scored one by one; extra columns are kept, ones named like output columns are replaced; an empty table gives an empty table.
+Edge cases: null, empty and word-less texts have 0 tokens, a sum of 0 and a mean of 0; a text of any length is scored whole; words of equal
+count are ranked by their hash; rows that repeat are scored one by one and count as often as they occur; extra columns are kept, ones named
+like output columns are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql.types import NumericType, StringType
 from tidemark.llm.storage import drop, materialize
 from tidemark.llm.textkernels import U64, slices, utf8, vocabulary
 
-CLASSES, PER_CLASS, HIDDEN = 64, 64, 20
+CLASSES, PER_CLASS, HIDDEN = 64, 64, 20  # classes and words of a class must be as many
 VOCAB = CLASSES * PER_CLASS
 #: Ids of words outside the known ones, by hash.
 OTHER = 256
@@ -33,6 +36,10 @@ SIDES = (-2, -1, 1, 2)
 #: Rounds of averaging; together they train on every document.
 ROUNDS = 2
 BATCH, RATE = 256, 0.2
+#: Logits above this count as this, so that no exponential overflows.
+LARGEST = np.float32(60)
+#: Cells of the counts of other words, at least and at most (32 MB), and what an unseen word counts.
+LEAST_CELLS, MOST_CELLS, UNSEEN = 1 << 14, 1 << 23, 0.05
 #: Tokens scored at once; more no longer fit the cache.
 SCORED = 1024
 #: Rows that carry the parameters between executors.
@@ -48,6 +55,45 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"h": pa.array(hashes.view(np.int64)), "c": pa.array(count.astype(np.int64))})
 
 
+class Rare:
+    """How often each hashed word outside the known ones occurs in the corpus, in cells that nest in the ids of other words."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        self.cells = cells
+        share = len(cells) // OTHER
+        with np.errstate(divide="ignore"):
+            self.log_total = np.log(cells.reshape(share, OTHER).sum(0, dtype=float) + UNSEEN * share)
+
+    def log_share(self, hashes: np.ndarray) -> np.ndarray:
+        """Log of a word's share of its id: (count + UNSEEN) over the id's count with as much for every cell."""
+        at = (hashes & U64(len(self.cells) - 1)).astype(np.int64)
+        return np.log(self.cells[at] + UNSEEN) - self.log_total[at % OTHER]
+
+
+def _fill_cells(size: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(size, np.float32)
+        out[pdf["at"].to_numpy()] = pdf["c"].to_numpy()
+        return pd.DataFrame({"page": [int(pdf["page"].iloc[0])], "cells": [out.tobytes()]})
+
+    return run
+
+
+def rare_words(counts: DataFrame, known: np.ndarray, known_counts: np.ndarray) -> Rare:
+    """The cells of all counted words but the ``known`` ones: their number grows with the vocabulary, to at most ``MOST_CELLS``."""
+    size, distinct_words = LEAST_CELLS, counts.count()
+    while size < min(MOST_CELLS, 2 * distinct_words):
+        size *= 2
+    page = LEAST_CELLS
+    cells = counts.groupBy(F.pmod("h", F.lit(size)).alias("cell")).agg(F.sum("c").alias("c"))
+    cells = cells.select(F.expr(f"cell div {page}").alias("page"), (F.col("cell") % page).cast("int").alias("at"), "c")
+    out = np.zeros(size, np.float32)
+    for row in cells.groupBy("page").applyInPandas(_fill_cells(page), "page long, cells binary").toLocalIterator():  # size cells in all
+        out[row["page"] * page : (row["page"] + 1) * page] = np.frombuffer(row["cells"], np.float32)
+    np.subtract.at(out, (known & U64(size - 1)).astype(np.int64), known_counts.astype(np.float32))
+    return Rare(np.maximum(out, 0))
+
+
 class Network:
     """Parameters, forward pass and gradient step; float32 throughout."""
 
@@ -64,9 +110,8 @@ class Network:
         self.p = {
             "e": rng.normal(0, 0.1, (len(SIDES), VOCAB + 1, HIDDEN)).astype(np.float32),
             "b": np.zeros(HIDDEN, np.float32),
-            "wc": rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32),
+            "w": rng.normal(0, 0.1, (HIDDEN, CLASSES + PER_CLASS)).astype(np.float32),
             "bc": np.log(unigram.sum(1)).astype(np.float32),
-            "ww": rng.normal(0, 0.1, (HIDDEN, PER_CLASS)).astype(np.float32),
             "bw": np.log(unigram / unigram.sum(1, keepdims=True)).astype(np.float32),
         }
 
@@ -88,43 +133,53 @@ class Network:
             out[hit] = self.ids[at[hit]]
         return out
 
-    def forward(self, context: np.ndarray, target: np.ndarray):
-        """Hidden layer, both softmaxes and log-probability; context is (sides, n)."""
+    def _levels(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden layer, unnormalised probabilities of both levels side by side, their sums, and log-probability; context is (sides, n)."""
         p = self.p
         h = p["e"][0][context[0]]
         for s in range(1, len(SIDES)):
-            h = h + p["e"][s][context[s]]
-        h = np.tanh(h + p["b"])
-        cls, word = target % CLASSES, target // CLASSES
-        zc = h @ p["wc"] + p["bc"]
-        zw = h @ p["ww"] + p["bw"][cls]
-        zc -= zc.max(1, keepdims=True)
-        zw -= zw.max(1, keepdims=True)
-        at = np.arange(len(target))
-        lc, lw = zc[at, cls], zw[at, word]
-        pc, pw = np.exp(zc), np.exp(zw)
-        sc, sw = pc.sum(1, keepdims=True), pw.sum(1, keepdims=True)
-        return h, pc / sc, pw / sw, lc - np.log(sc[:, 0]) + lw - np.log(sw[:, 0])
+            h += p["e"][s][context[s]]
+        h += p["b"]
+        np.tanh(h, out=h)
+        cls, word, at = target % CLASSES, target // CLASSES, np.arange(len(target))
+        z = h @ p["w"]
+        z[:, :CLASSES] += p["bc"]
+        z[:, CLASSES:] += p["bw"][cls]
+        np.minimum(z, LARGEST, out=z)
+        chosen = z[at, cls] + z[at, CLASSES + word]
+        np.exp(z, out=z)
+        sums = z.reshape(len(z), 2, -1).sum(2)  # both levels have as many entries
+        return h, z, sums, chosen - np.log(sums).sum(1)
+
+    def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return self._levels(context, target)[3]
+
+    def forward(self, context: np.ndarray, target: np.ndarray):
+        """Hidden layer, both softmaxes side by side, and log-probability; context is (sides, n)."""
+        h, z, sums, log_p = self._levels(context, target)
+        z.reshape(len(z), 2, -1)[:] /= sums[:, :, None]
+        return h, z, log_p
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         p = self.p
-        h, pc, pw, _ = self.forward(context, target)
+        h, error, _ = self.forward(context, target)
         at, cls, word = np.arange(len(target)), target % CLASSES, target // CLASSES
-        pc[at, cls] -= 1
-        pw[at, word] -= 1
-        dh = (pc @ p["wc"].T + pw @ p["ww"].T) * (1 - h * h)
+        error[at, cls] -= 1
+        error[at, CLASSES + word] -= 1
         scale = np.float32(rate / np.sqrt(len(target)))
-        p["wc"] -= scale * (h.T @ pc)
-        p["ww"] -= scale * (h.T @ pw)
-        p["bc"] -= scale * pc.sum(0)
-        p["b"] -= scale * dh.sum(0)
+        error *= scale
+        dh = error @ p["w"].T
+        dh *= 1 - h * h
+        p["w"] -= h.T @ error
+        p["bc"] -= error[:, :CLASSES].sum(0)
+        p["b"] -= dh.sum(0)
         hot = np.zeros((CLASSES, len(target)), np.float32)
         hot[cls, at] = 1
-        p["bw"] -= hot @ (scale * pw)
+        p["bw"] -= hot @ error[:, CLASSES:]
         # Single numbers, as NumPy has a fast loop for those only.
         rows = (context + np.arange(len(SIDES))[:, None] * (VOCAB + 1)) * HIDDEN
         cells = rows[:, :, None] + np.arange(HIDDEN)
-        np.subtract.at(p["e"].reshape(-1), cells.ravel(), np.tile((scale * dh).ravel(), len(SIDES)))
+        np.subtract.at(p["e"].reshape(-1), cells.ravel(), np.tile(dh.ravel(), len(SIDES)))
 
 
 def _contexts(ids: np.ndarray, row_words: np.ndarray) -> np.ndarray:
@@ -170,8 +225,8 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "data": [mean.astype(np.float32).tobytes()]})
 
 
-def train_network(text: DataFrame) -> Network:
-    """A network for the corpus in the string column of ``text``; the second column is the round of each row."""
+def train_network(text: DataFrame) -> tuple[Network, Rare]:
+    """A network and the counts of other words for the corpus in the string column of ``text``; the second column is the round of each row."""
     spark = text.sparkSession
     rows = text.toDF("body", "round")
     text = rows.select("body")
@@ -179,30 +234,32 @@ def train_network(text: DataFrame) -> Network:
     counts = materialize(counts, "words")
     top = counts.orderBy(F.desc("c"), "h").limit(VOCAB - OTHER).collect()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    known, known_counts = np.array([r["h"] for r in top], np.int64).view(U64), np.array([r["c"] for r in top], float)
+    net, rare = Network(known, known_counts, total), rare_words(counts, known, known_counts)
     drop(counts)
-    net = Network(np.array([r["h"] for r in top], np.int64).view(U64), np.array([r["c"] for r in top], float), total)
     for round_no in range(ROUNDS if top else 0):
         part = rows.where(F.col("round") == round_no).select("body")
         made = part.mapInArrow(_train(spark.sparkContext.broadcast(net), round_no), "piece int, weight long, data binary")
         pieces = made.groupBy("piece").applyInPandas(_average, "piece int, data binary").collect()  # PIECES rows, one network
         if pieces:
             net.load(np.concatenate([np.frombuffer(r["data"], np.float32) for r in sorted(pieces, key=lambda r: r["piece"])]))
-    return net
+    return net, rare
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net: Network = shared.value
+        net: Network = shared.value[0]
+        rare: Rare = shared.value[1]
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             data, offsets = utf8(batch.column(0))
             for lo, hi in slices(offsets):
                 hashes, _, _, ids, row_words = vocabulary(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                tokens = net.tokens(hashes)[ids]
+                of_word = net.tokens(hashes)
+                tokens, log_p = of_word[ids], np.where(of_word < OTHER, rare.log_share(hashes), 0.0)[ids]
                 context = _contexts(tokens, row_words)
-                log_p = np.zeros(len(tokens))
                 for a in range(0, len(tokens), SCORED):
-                    log_p[a : a + SCORED] = net.forward(context[:, a : a + SCORED], tokens[a : a + SCORED])[3]
+                    log_p[a : a + SCORED] += net.log_probability(context[:, a : a + SCORED], tokens[a : a + SCORED])
                 size = np.diff(row_words)
                 n[lo:hi] = size
                 total[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), size), log_p, hi - lo)
@@ -218,8 +275,8 @@ def _score(shared):
 def score_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, pll (sum of conditional log-probabilities) and mean_pll, from a network of their own corpus."""
     keys = [docs[f"`{f.name}`"] for f in docs.schema if f.name != text_col and isinstance(f.dataType, (NumericType, StringType))]
-    net = train_network(docs.select(docs[text_col], F.pmod(F.xxhash64(F.lit(0), *keys), F.lit(ROUNDS))))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    model = train_network(docs.select(docs[text_col], F.pmod(F.xxhash64(F.lit(0), *keys), F.lit(ROUNDS))))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c.lower() not in ("n_tokens", "pll", "mean_pll")]
     others = [c for c in keep if c != text_col]
     rest = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")])
