@@ -3,13 +3,14 @@
 Test items are a stated query set, taken in blocks of bounded size. Words are runs of letters and digits, A-Z
 lower-cased. Every 3-gram of an item is a seed, common or not. A seed hit opens a window of the document around the
 place where the item would lie; overlapping windows merge, and local alignment of words (match 1, mismatch and gap
--0.5) scores each window. The share of the item's length that the best alignment reaches decides. A copy without three words of the item in a row has no seed. One pass reads the
-documents and broadcasts the block: no shuffle of texts, no pairs in a join, and a hot item costs no more than its own
-documents.
-
-Edge cases: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words match only where all their words
-stand in a row (one without words nowhere); rows that repeat are judged one by one; extra columns are kept, ``matches``
-is replaced; empty tables give no matches.
+-0.5) scores each window. The share of the item's length that the best alignment reaches decides. A copy without three words of the item in
+a row has no seed. One pass reads the documents against all blocks, each broadcast by itself: no shuffle of texts, no pairs in a join, and a
+hot item costs no more than its own documents.
+
+Edge cases: null and empty texts match nothing; a text of any length is searched whole; items of fewer than ``MIN_WORDS`` words match only
+where all their words stand in a row (one without words nowhere); items with a null id or text are left out; rows and items that repeat are judged
+one by one; of windows or places of equal score the first is reported; extra columns are kept, ``matches`` is replaced; empty tables give no
+matches.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.textkernels import PUNCTUATION, U64, slices, span_hashes, utf8, window_hashes, word_bounds
 
 GRAM = 3
-MIN_WORDS, MIN_SEEDS = 8, 8
+#: Items of fewer words are matched whole.
+MIN_WORDS = 8
 MISMATCH = GAP = 0.5
 #: Bytes of item texts in a block.
 BLOCK_BYTES = 4 << 20
@@ -74,18 +76,6 @@ class Items:
         hit = self.known[at] == grams[maybe]
         return maybe[hit], at[hit]
 
-    def keep_rare(self, frequency: np.ndarray) -> None:
-        """Keep the rarer half of each item's grams (``frequency`` is by ``known``), ties by position."""
-        freq = np.repeat(frequency, np.diff(self.first))
-        order = np.lexsort((self.pos, freq, self.item))
-        item = self.item[order]
-        start = np.searchsorted(item, item)
-        size = np.searchsorted(item, item, "right") - start
-        rank = np.arange(len(item)) - start
-        kept = np.sort(order[rank < np.maximum((size + 1) // 2, MIN_SEEDS)])
-        self.item, self.pos, self.gram = self.item[kept], self.pos[kept], self.gram[kept]
-        self._index()
-
 
 def align(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each window with its item: rows (score, end in window, end in item)."""
@@ -177,32 +167,34 @@ def _whole(words: np.ndarray, bounds: np.ndarray, n: int, whole: dict[int, list[
             yield r, item, int(first[k] - bounds[r])
 
 
-def _match(shared, threshold: float, item_type: pa.DataType):
+def _match(blocks: list, threshold: float, item_type: pa.DataType):
+    """Adds the matches with the items of all ``blocks``, broadcast one by one; a text's words are found once for all of them."""
     kind = pa.list_(
         pa.struct([("item", item_type), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())])
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
         for batch in batches:
-            found: list[dict] = [{} for _ in range(batch.num_rows)]
+            found: list[list[dict]] = [[{} for _ in blocks] for _ in range(batch.num_rows)]
             data, offsets = utf8(batch.column(0))
             for lo, hi in slices(offsets):
                 words, bounds, grams, first, gram_bounds = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                at, known = items.find(grams)
-                row = np.searchsorted(gram_bounds, at, "right") - 1
-                size = items.first[known + 1] - items.first[known]
-                for p, q in _runs(row, size):
-                    for (r, i, a), (score, end, rows) in _scores(items, words, bounds, first[at[p:q]], row[p:q], known[p:q], size[p:q]):
-                        share = round(score / len(items.words[i]), 9)
-                        if share >= threshold and share > found[lo + r].get(i, (0,))[0]:
-                            stop = a + int(end) - int(bounds[r])
-                            found[lo + r][i] = (share, max(0, stop - int(rows)), stop)
-                for n, whole in items.short.items():
-                    for r, i, a in _whole(words, bounds, n, whole):
-                        found[lo + r].setdefault(i, (1.0, a, a + n))
+                for block, shared in enumerate(blocks):
+                    items: Items = shared.value
+                    at, known = items.find(grams)
+                    row = np.searchsorted(gram_bounds, at, "right") - 1
+                    size = items.first[known + 1] - items.first[known]
+                    for p, q in _runs(row, size):
+                        for (r, i, a), (score, end, rows) in _scores(items, words, bounds, first[at[p:q]], row[p:q], known[p:q], size[p:q]):
+                            share = round(score / len(items.words[i]), 9)
+                            if share >= threshold and share > found[lo + r][block].get(i, (0,))[0]:
+                                stop = a + int(end) - int(bounds[r])
+                                found[lo + r][block][i] = (share, max(0, stop - int(rows)), stop)
+                    for n, whole in items.short.items():
+                        for r, i, a in _whole(words, bounds, n, whole):
+                            found[lo + r][block].setdefault(i, (1.0, a, a + n))
             column = [
-                [{"item": items.ids[i], "score": s, "first_word": a, "end_word": b} for i, (s, a, b) in sorted(x.items())]
+                [{"item": b.value.ids[i], "score": s, "first_word": a, "end_word": e} for b, y in zip(blocks, x, strict=True) for i, (s, a, e) in sorted(y.items())]
                 for x in found
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, kind)], names=[*batch.schema.names, "matches"])
@@ -211,7 +203,7 @@ def _match(shared, threshold: float, item_type: pa.DataType):
 
 
 def mark_matches(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.4
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.4, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``docs`` with ``matches``: item, score (share of the item aligned), first_word and end_word (about) in the text."""
     spark = docs.sparkSession
@@ -221,21 +213,15 @@ def mark_matches(
     others = [c for c in keep if c != text_col]
     rest = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")])
     out = docs.select(docs[text_col].alias("body"), rest.alias("rest"))
-    text = docs.select(docs[text_col].alias("body"))
     matches = f"array<struct<item:{item_kind},score:double,first_word:int,end_word:int>>"
     chosen = benchmark.select(benchmark[item_col].alias("id"), benchmark[item_text_col].alias("body")).where("id is not null and body is not null")
     total = chosen.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    blocks = 1 + total // BLOCK_BYTES
+    blocks = 1 + total // block_bytes
     parts = []
     for block in range(blocks):
-        rows = chosen.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # about BLOCK_BYTES
-        items = Items([r["id"] for r in rows], [r["body"] for r in rows])
-        marks = spark.sparkContext.broadcast(items)
-        name = f"m{block}"
-        out = out.mapInArrow(
-            _match(marks, threshold, item_type),
-            ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + f", matches {matches}",
-        ).withColumnRenamed("matches", name)
-        parts.append(name)
+        rows = chosen.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id", "body").collect()  # about block_bytes
+        parts.append(spark.sparkContext.broadcast(Items([r["id"] for r in rows], [r["body"] for r in rows])))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
+    out = out.mapInArrow(_match(parts, threshold, item_type), f"{kinds}, matches {matches}")
     made = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text_col: F.col("body")}
-    return out.select(*[made[c].alias(c) for c in keep], F.concat(*parts).alias("matches"))
+    return out.select(*[made[c].alias(c) for c in keep], "matches")
