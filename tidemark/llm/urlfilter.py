@@ -6,7 +6,8 @@ hash of the URL) is reduced to counts per vector of feature bins; each tree leve
 SQL expression on the features, scored inside whole-stage codegen without a shuffle.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no rule and is judged by its features
-(those of the empty text); with labels of one class only, or none, the trees are a constant and a tie allows;
+(for null those of the empty text); a URL of any length is read whole; rows that repeat are judged, and learned from, one by one; of rules of one
+length the first given wins; with labels of one class only, or none, the trees are a constant, and a score of 0 allows;
 extra columns are kept, ones named like output columns are replaced; an empty table gives an empty table.
 """
 
@@ -189,8 +190,11 @@ def train_trees(labelled: DataFrame, names: list[str]) -> str:
     return score
 
 
-def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """``pages`` with host, path, rule (or null), verdict (allow or block) and score (log-odds of block)."""
+def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, suffixes: int = SUFFIXES) -> DataFrame:
+    """``pages`` with host, path, rule (or null), verdict (allow or block) and score (log-odds of block).
+
+    ``sample`` bounds the labelled URLs of the fit, ``suffixes`` those with a rate of their own (the most frequent; others get the mean).
+    """
     made = ("host", "path", "rule", "verdict", "score")
     keep = [c for c in pages.columns if c.lower() not in made]
     base = pages.select(pages[url_col].alias("u"), F.struct(*[pages[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)]).alias("rest"))
@@ -201,21 +205,27 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] =
     features = lexical_features(F.coalesce("u", F.lit("")), F.col("host"), F.col("path"))
     labelled = parts.where("ruled is not null").select("u", "host", "path", (F.col("ruled") == "block").cast("int").alias("bad_url"))
     labelled = labelled.orderBy(F.xxhash64("u"), "u").limit(sample)
-    labelled = labelled.select("bad_url", host_suffix(F.col("host")).alias("suffix"), *[c.alias(n) for n, c in features.items()])
+    labelled = labelled.select(
+        "bad_url", F.pmod(F.xxhash64(F.lit("fold"), "u"), F.lit(2)).alias("fold"), host_suffix(F.col("host")).alias("suffix"), *[c.alias(n) for n, c in features.items()]
+    )
     labelled = materialize(labelled, "labelled")
     total, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("bad_url"), F.lit(0))).first()
     prior = bad / total if total else 0.5
-    stats = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("bad_url").alias("bad"))
-    stats = stats.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).select(
-        "suffix", F.round((F.col("bad") + 5 * prior) / (F.col("n") + 5), 9).alias("suffix_rate")
+    # A URL that is trained on gets its suffix's rate from the other half, so a rate never knows its own URL's label.
+    per_fold = lambda c: [F.coalesce(F.sum(F.when(F.col("fold") != k, c)), F.lit(0)) for k in (0, 1)]
+    stats = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("bad_url").alias("bad"), F.array(*per_fold(F.lit(1))).alias("ns"), F.array(*per_fold(F.col("bad_url"))).alias("bads"))
+    rate = lambda k, n: F.round((k + 5 * prior) / (n + 5), 9)
+    stats = stats.orderBy(F.desc("n"), "suffix").limit(suffixes).select(
+        "suffix", rate(F.col("bad"), F.col("n")).alias("whole_rate"), F.array(*[rate(F.col("bads")[k], F.col("ns")[k]) for k in (0, 1)]).alias("fold_rates")
     )
     stats = materialize(stats, "suffixes")
-    # At most SUFFIXES rows are broadcast.
-    rated = lambda df: df.join(F.broadcast(stats), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(prior)))
+    # At most ``suffixes`` rows are broadcast.
+    rated = lambda df, found: df.join(F.broadcast(stats), "suffix", "left").withColumn("suffix_rate", F.coalesce(found, F.lit(prior)))
     names = [*features, "suffix_rate"]
-    score = train_trees(rated(labelled).select(*names, "bad_url"), names)
+    score = train_trees(rated(labelled, F.get("fold_rates", F.col("fold").cast("int"))).select(*names, "bad_url"), names)
     drop(labelled)
-    scored = rated(parts.select("*", host_suffix(F.col("host")).alias("suffix"), *[c.alias(n) for n, c in features.items()]))
+    every = parts.select("*", host_suffix(F.col("host")).alias("suffix"), *[c.alias(n) for n, c in features.items()])
+    scored = rated(every, F.col("whole_rate"))
     scored = scored.withColumn("score", F.expr(score))
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.select(
