@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_text_ops import brute_components, brute_lines, shingles
-from tidemark.llm.decontam import Items, align, mark_matches
+from tidemark.llm.decontam import align, mark_matches
 from tidemark.llm.embdedup import embedding_dedup
 from tidemark.llm.hnsw import SmallWorld
 from tidemark.llm.langid import identify_language
@@ -242,6 +242,8 @@ def test_edited_and_partial_copies_against_unseeded_alignment(spark):
     bench = spark.createDataFrame([(k, " ".join(b)) for k, b in items.items()], "item_id long, text string")
     rows = mark_matches(df, bench).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item", "m.score").collect()
     assert {(x["doc_id"], x["item"]): x["score"] for x in rows} == want
+    blocks = mark_matches(df, bench, block_bytes=1500).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item", "m.score").collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, rows))
 
 
 def test_short_items_match_whole(spark):
@@ -252,14 +254,6 @@ def test_short_items_match_whole(spark):
     assert got == {(1, 1, 1.0, 2, 5), (1, 2, 1.0, 2, 5), (3, 3, 1.0, 1, 2), (5, 4, 1.0, 0, 6)}
 
 
-def test_seeds_are_the_rarer_half():
-    items = Items([0], [" ".join(f"q{i}" for i in range(30))])
-    frequency = np.arange(len(items.known))[::-1]
-    rare = set(items.known[np.argsort(frequency)[:14]].tolist())
-    items.keep_rare(frequency)
-    assert set(items.known.tolist()) == rare
-
-
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(260, 16))

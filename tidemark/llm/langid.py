@@ -6,11 +6,12 @@ known n-gram that starts there adds its log frequency, and the word counts as th
 positions. The language with the largest sum wins.
 
 Fitted on at most ``sample`` labelled documents (the smallest by hash of the id, whole texts), with at most
-``KNOWN`` entries of each kind; predictions cover all rows in one pass with no shuffle.
+``known`` entries of each kind that occur at least twice; predictions cover all rows in one pass with no shuffle.
 
 Edge cases: null text and text without a letter are ``und`` with score 0, and so is everything if nothing was
-learned; rows with a null language are not learned from; ties go to the language that sorts first; input columns named like
-output columns are replaced; an empty table gives an empty table.
+learned; a text of any length is read whole; rows with a null id or language are not learned from, those that repeat are learned from and judged
+one by one; ties go to the language that sorts first; extra columns are kept, those named like output columns are replaced; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -101,17 +102,17 @@ class Model:
         return out
 
 
-def fit(train: DataFrame) -> Model:
-    """A model from (body, lang), a bounded sample."""
+def fit(train: DataFrame, known: int = KNOWN) -> Model:
+    """A model from (body, lang), a bounded sample; at most ``known`` entries of each kind, those of the largest totals."""
     counts = train.mapInArrow(_counts, "kind int, lang string, h long, c long")
     by_lang = materialize(counts.groupBy("kind", "h", "lang").agg(F.sum("c").alias("c")), "entries")
     each = by_lang.groupBy("kind", "h").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     each = each.where("total >= 2")
-    # The smallest total that leaves at most KNOWN entries of a kind, from how often each total occurs.
+    # The smallest total that leaves at most ``known`` entries of a kind, from how often each total occurs.
     room: dict[int, int] = {}
     least: dict[int, int] = {}
     for kind, total, n in each.groupBy("kind", "total").count().orderBy("kind", F.desc("total")).collect():
-        left = room.get(kind, KNOWN)
+        left = room.get(kind, known)
         room[kind] = left - n if left >= n else 0
         if left >= n:
             least[kind] = total
@@ -165,9 +166,13 @@ def _predict(shared):
 
 
 def identify_language(
-    docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE
+    docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample: int = SAMPLE, known: int = KNOWN,
 ) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1), learned from ``training`` (id, text, lang)."""
+    """``docs`` with lang_pred and score (0 to 1), learned from ``training`` (id, text, lang).
+
+    ``sample`` bounds the labelled documents of the fit, ``known`` the model's entries of each kind, so that it can be broadcast.
+    """
     spark = docs.sparkSession
     chosen = training.select(training[id_col].alias("id"), training[lang_col].alias("lang")).where("id is not null and lang is not null")
     chosen = chosen.select(F.xxhash64("id").alias("turn"), "id").orderBy("turn", "id").limit(sample)
@@ -176,11 +181,11 @@ def identify_language(
         F.lit(last is not None) & training[id_col].isNotNull() & (F.xxhash64(training[id_col]) <= F.lit(last if last is not None else 0)) & training[lang_col].isNotNull()
     )
     train = materialize(body.repartition(PARTS), "train")
-    model = spark.sparkContext.broadcast(fit(train))
+    model = spark.sparkContext.broadcast(fit(train, known))
     drop(train)
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     others = [c for c in keep if c != text_col]
-    base = docs.select(docs[text_col].alias("body"), F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
+    base = docs.select(docs[text_col].alias("body"), F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")]).alias("rest"))
     out = base.mapInArrow(_predict(model), f"body string, rest {base.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
     made = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text_col: F.col("body")}
     return out.select(*[made[c].alias(c) for c in keep], "lang_pred", "score")

@@ -8,9 +8,10 @@ document's score is a sum over its distinct words, and scoring is one pass with
 The classifier is fitted on at most ``sample`` labelled documents (the smallest by hash of the id, whole texts);
 scores cover all rows. What is broadcast is 2**18 weights at most.
 
-Edge cases: null and empty texts get the bias alone; labels that are null, or whose document is missing, are not
-used; of conflicting labels of one id the largest counts; without both classes in training every score
-is the share of toxic labels (0 without labels); input columns named like output columns are replaced; an empty table gives an empty table.
+Edge cases: null and empty texts get the bias alone; a text of any length is read whole; labels that are null, or whose document is missing,
+are not used; of conflicting labels of one id the largest counts, for all rows of that id; rows that repeat are scored one by one; a score of
+exactly 0.5 is predicted toxic; without both classes in training every score is the share of toxic labels (0 without labels); extra columns are
+kept, those named like output columns are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -143,8 +144,8 @@ def lbfgs(f, w: np.ndarray, steps: int = 150, memory: int = 8) -> np.ndarray:
     return w
 
 
-def fit(train: DataFrame) -> tuple[np.ndarray, float]:
-    """Weight of each bucket and bias from (body, label), a bounded sample."""
+def fit(train: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, float]:
+    """Weight of each bucket and bias from (body, label), a bounded sample; the ``features`` that tell most have weights."""
     sums = np.zeros((3, BUCKETS))
     size = BUCKETS // PIECES
     counted = train.mapInArrow(_class_counts, "piece int, sums binary")
@@ -158,7 +159,7 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     p, q = 1 + sums[1], 1 + sums[0]
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     strength = np.where(sums[2] >= 2, np.abs(ratio) / np.sqrt(1 / p + 1 / q), 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
+    chosen = np.sort(np.argsort(-strength, kind="stable")[:features])
     chosen = chosen[strength[chosen] > 0]
     scale = ratio[chosen]
     favour = np.sqrt((n - n_toxic) / n_toxic)  # missing the rarer class costs more
@@ -209,8 +210,12 @@ def score_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     sample: int = SAMPLE,
+    features: int = FEATURES,
 ) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5); ``labels`` has id and label of training rows."""
+    """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5); ``labels`` has id and label of training rows.
+
+    ``sample`` bounds the labelled documents of the fit, ``features`` the n-grams that get a weight (of those in two documents or more).
+    """
     spark = docs.sparkSession
     ident = labels.schema[id_col].dataType.simpleString()
     known = (
@@ -223,11 +228,11 @@ def score_toxicity(
     text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
     # At most ``sample`` ids and labels are broadcast.
     train = materialize(text.join(F.broadcast(known), "id").select("body", "label").repartition(PARTS), "train")
-    model = spark.sparkContext.broadcast(fit(train))
+    model = spark.sparkContext.broadcast(fit(train, features))
     drop(train)
     keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     others = [c for c in keep if c != text_col]
-    rest = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)])
+    rest = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(0).alias("none")])
     base = docs.select(docs[text_col].alias("body"), rest.alias("rest"))
     scored = base.mapInArrow(_score(model), f"body string, rest {base.schema['rest'].dataType.simpleString()}, score double")
     made = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text_col: F.col("body")}
