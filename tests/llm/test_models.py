@@ -449,3 +449,149 @@ def test_pipeline_decisions(spark):
     final = P.STAGES[-1][1](spark, docs, DATA)
     assert final.select("doc_id").distinct().count() <= len(seen["decontamination"])
     assert final.exceptAll(mix_again(docs)).count() == 0
+
+
+def test_language_scores_match_brute_force(spark):
+    """Words by log frequency, unseen ones by the longest known n-gram at each place: plain Python over dictionaries."""
+    rows = texts(60, 4)
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = [t for _, t, _ in texts(20, 5)] + ["nothinges thingxyz ÜBER q", "zzz", "a b the", "über-schön 12"]
+    grams = lambda w, n: [(i, (" " + w + " ")[i : i + n]) for i in range(len(w) + 3 - n)] if n > 1 else [(i + 1, c) for i, c in enumerate(w)]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+    langs, count = ["aa", "bb"], [{} for _ in range(5)]
+    total = [[0, 0] for _ in range(5)]
+    for _, t, lang in rows:
+        k = langs.index(lang)
+        for w in lower(t):
+            for kind, keys in [(0, [w]), *((n, [g for _, g in grams(w, n)]) for n in range(1, 5))]:
+                for key in keys:
+                    count[kind].setdefault(key, [0, 0])[k] += 1
+                    total[kind][k] += 1
+    count = [{key: c for key, c in kind.items() if sum(c) >= 2} for kind in count]
+    log_f = lambda kind, key, k: math.log((count[kind][key][k] + 0.5) / (total[kind][k] + 0.5 * (len(count[kind]) + 1)))
+
+    def word(w, k):
+        if w in count[0]:
+            return log_f(0, w, k)
+        found = []
+        for place in range(1, len(w) + 1):
+            best = next(((n, g) for n in range(4, 0, -1) for i, g in grams(w, n) if i == place and g in count[n]), None)
+            if best:
+                found.append(log_f(*best, k))
+        return sum(found) / max(len(found), 1)
+
+    got = identify_language(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), train).orderBy("doc_id").collect()
+    for t, x in zip(docs, got):
+        sums = [sum(word(w, k) for w in lower(t)) for k in range(2)]
+        gap = [math.exp((s - max(sums)) / len(lower(t)) * min(len(lower(t)), 20)) for s in sums]
+        assert x["lang_pred"] == langs[int(sums[1] > sums[0])] and abs(x["score"] - 1 / sum(gap)) < 1e-6, t
+
+
+def test_toxicity_model_matches_brute_force(spark):
+    """Features and ratios by dictionaries; the weights make the dense loss's gradient vanish; scores are plain sums."""
+    import pyarrow as pa
+
+    from tidemark.llm import toxicity as X
+    from tidemark.llm.textkernels import char_grams, utf8, vocabulary, word_points
+
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = [(" ".join(r.choices(vocab, k=r.randint(3, 25)) + (["awful"] * 2 if i % 3 == 0 and i % 7 else [])), int(i % 3 == 0)) for i in range(90)]
+    weights, bias = X.fit(spark.createDataFrame(rows, "body string, label int").repartition(3))
+
+    def features(text):
+        out = {}
+        for w in set(text.split()):
+            data, offsets = utf8(pa.array([w]))
+            _, starts, ends, _, _ = vocabulary(data, offsets)
+            points = word_points(data, starts, ends)
+            for b in {int(h) % X.BUCKETS for n in X.SIZES for h in char_grams(points, n)[0].tolist()}:
+                out[b] = out.get(b, 0) + 1
+        return out
+
+    docs = [(features(t), y) for t, y in rows]
+    sums, spread = [dict(), dict()], {}
+    for f, y in docs:
+        for b, v in f.items():
+            sums[y][b] = sums[y].get(b, 0) + v
+            spread[b] = spread.get(b, 0) + 1
+    norm = [X.BUCKETS + sum(s.values()) for s in sums]
+    ratio = {b: math.log((1 + sums[1].get(b, 0)) / norm[1]) - math.log((1 + sums[0].get(b, 0)) / norm[0]) for b in spread}
+    kept = sorted(b for b in spread if spread[b] >= 2 and abs(ratio[b]) > 0)
+    assert set(np.flatnonzero(weights)) <= set(kept) and len(kept) < X.FEATURES
+    x = np.array([[f.get(b, 0) * ratio[b] for b in kept] for f, _ in docs])
+    y = np.array([y for _, y in docs])
+    w = np.array([weights[b] / ratio[b] for b in kept])
+    n, toxic = len(y), y.sum()
+    each = np.where(y > 0, math.sqrt((n - toxic) / toxic), 1.0)
+    error = each * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+    assert np.abs(np.append(x.T @ error + X.PENALTY * w, error.sum())).max() < 0.05
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    got = score_toxicity(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), labels).orderBy("doc_id").collect()
+    np.testing.assert_allclose([g["score"] for g in got], 1 / (1 + np.exp(-(x @ w + bias))), atol=0.02)
+
+
+def test_trees_match_brute_force(spark):
+    """Boosted trees on a small table against plain loops over all splits."""
+    from tidemark.llm import urlfilter as U
+
+    r = random.Random(8)
+    rows = []
+    for _ in range(300):
+        a, b = float(r.randrange(12)), float(r.randrange(5))
+        rows.append((a, b, float(r.randrange(3)), int((a > 6) != (b > 2)) if r.random() < 0.9 else r.randrange(2)))
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "a double, b double, c double, bad_url int")
+    got = [x["s"] for x in df.coalesce(1).selectExpr(f"{U.train_trees(df, names)} AS s").collect()]
+    cuts = [sorted({float(q) for q in df.selectExpr(f"percentile_approx({c}, array({', '.join(str(k / U.BINS) for k in range(1, U.BINS))}), 10000) AS q").first()["q"]}) for c in names]
+    binned = [[next((c for c in cuts[k] if row[k] <= c), math.inf) for k in range(3)] for row in rows]
+    y = [row[3] for row in rows]
+    score = [math.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5))] * len(y)
+
+    def grow(index, depth):
+        p = [1 / (1 + math.exp(-score[i])) for i in index]
+        g, h = sum(q - y[i] for q, i in zip(p, index)), sum(q * (1 - q) for q in p)
+        best = (1e-6, None, None)
+        for k in range(3) if depth < U.DEPTH else []:
+            for cut in sorted({binned[i][k] for i in index})[:-1]:
+                left = [j for j, i in enumerate(index) if binned[i][k] <= cut]
+                gl, hl = sum(p[j] - y[index[j]] for j in left), sum(p[j] * (1 - p[j]) for j in left)
+                gain = gl * gl / (hl + U.RIDGE) + (g - gl) ** 2 / (h - hl + U.RIDGE) - g * g / (h + U.RIDGE)
+                if gain > best[0] + 1e-9:
+                    best = (gain, k, cut)
+        if best[1] is None:
+            return dict.fromkeys(index, -U.RATE * g / (h + U.RIDGE))
+        _, k, cut = best
+        return grow([i for i in index if binned[i][k] <= cut], depth + 1) | grow([i for i in index if binned[i][k] > cut], depth + 1)
+
+    for _ in range(U.TREES):
+        step = grow(list(range(len(y))), 0)
+        score = [s + step[i] for i, s in enumerate(score)]
+    np.testing.assert_allclose(got, score, atol=1e-6)
+    assert np.mean([(s > 0) == bool(v) for s, v in zip(got, y)]) > 0.85
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Nulls in every column, repeated ids, empty and long texts, clashing names, and an empty table."""
+    import corpus_pipeline as P
+
+    r = random.Random(9)
+    words = [f"p{i}" for i in range(400)]
+    clean = [(i, " ".join(r.choices(words, k=30)), "en", "web", 1, i) for i in range(80)]
+    odd = [(None, "no id here at all", None, None, None, None), (200, None, "en", None, 0, 1), (201, "", None, "web", 0, 1), (202, "x" * 50_000, "en", "web", 5, 2),
+           (203, "w " * 20_000, "en", "web", 5, 2), (5, clean[5][1], "en", "web", 1, 5), (5, "another text of the same id " * 3, "en", "b", 1, 5), (204, clean[7][1], "en", "web", 1, 7)]
+    toxic = [(300 + i, f"you stupid idiot {' '.join(r.choices(words, k=12))}", "en", "web", 1, 1) for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score long"
+    labels = [(i, 1, 0) for i in range(60)] + [(300 + i, 0, 1) for i in range(20)] + [(5, None, None), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, clean[9][1]), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(clean + odd + toxic, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    out = P.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "n_tokens", "epoch", "block_rank"]
+    got = out.collect()
+    ids = {x["doc_id"] for x in got}
+    assert not ids & set(range(300, 330)) and 9 not in ids and len(ids & set(range(80))) >= 70
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
