@@ -48,8 +48,3 @@ def _drop_all() -> None:
             _delete(spark, path)
         except Exception:  # the JVM may be gone at exit; the folder is scratch space
             break
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; free, used only to size tables and buckets."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
