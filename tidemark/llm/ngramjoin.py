@@ -219,11 +219,11 @@ def _split_lists(post: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def _group_pairs(groups: DataFrame, spans: DataFrame) -> DataFrame:
-    """(ga, gb): pairs of groups, also of a group with itself, that may hold a link between two components.
+    """(ga, gb, ba, bb): pairs of groups, also of a group with itself, that may hold a link between two components, and their blocks of members.
 
-    ``spans`` gives each group's least and greatest component. Lists whose groups are all in one component are finished.
+    ``spans`` gives each group's least and greatest component and its blocks. Lists whose groups are all in one component are finished.
     """
-    post = groups.select("gid", "n", "alone", F.posexplode("prefix.g").alias("at", "g")).join(spans, "gid")
+    post = groups.select("gid", "n", "alone", F.posexplode("prefix.g").alias("at", "g")).join(spans.drop("blocks"), "gid")
     post = post.select("gid", "n", "g", (F.col("alone") + F.col("at")).alias("k"), "lo", "hi")
     counts = post.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.ceil(F.count("*") / LIST_BLOCK).alias("blocks")).where("lo <> hi")
     counts = materialize(counts.select("g", "blocks"), "open")
@@ -236,24 +236,23 @@ def _group_pairs(groups: DataFrame, spans: DataFrame) -> DataFrame:
         .where(F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= need)
         .select(F.least("gida", "gidb").alias("ga"), F.greatest("gida", "gidb").alias("gb")).distinct()
     )
-    side = lambda x: groups.select(F.col("gid").alias(f"g{x}"), *[F.col(c).alias(c + x) for c in ("n", "alone", "prefix")])
+    known_of = groups.join(spans.select("gid", "blocks"), "gid")
+    side = lambda x: known_of.select(F.col("gid").alias(f"g{x}"), F.col("blocks").alias(f"b{x}"), *[F.col(c).alias(c + x) for c in ("n", "alone", "prefix")])
     both = pairs.join(side("b"), "gb").join(side("a"), "ga")
     # Up to the lesser of the last prefix shingles both sets are known: what only one of them has there differs for certain.
     known = F.least(F.element_at("prefixa", -1), F.element_at("prefixb", -1))
     only = lambda x, y: F.size(F.filter(F.array_except(x, y), lambda t: t <= F.col("known")))
     both = both.withColumn("known", known)
     differ = F.col("alonea") + F.col("aloneb") + only("prefixa", "prefixb") + only("prefixb", "prefixa")
-    out = materialize(both.where(differ * 7 <= F.col("na") + F.col("nb")).select("ga", "gb"), "group_pairs")
+    out = materialize(both.where(differ * 7 <= F.col("na") + F.col("nb")).select("ga", "gb", "ba", "bb"), "group_pairs")
     drop(post, counts)
     return out
 
 
-def _member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _member_pairs(pairs: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
     """Members (a, b) of different components of the surviving group pairs, by blocks of members, as far as their parities allow a link."""
-    sizes = members.groupBy("gid").agg(F.ceil(F.count("*") / MEMBER_BLOCK).alias("blocks"))
-    dealt = members.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    cells = pairs.join(sizes.toDF("ga", "ba"), "ga").join(sizes.toDF("gb", "bb"), "gb")
-    cells = cells.withColumn("ia", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ba") - 1)))
+    dealt = members.join(spans.select("gid", "blocks"), "gid").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    cells = pairs.withColumn("ia", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ba") - 1)))
     cells = cells.withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bb") - 1))).where("ga < gb or ia <= ib").select("ga", "gb", "ia", "ib")
     side = lambda x: dealt.select(F.col("gid").alias(f"g{x}"), F.col("block").alias(f"i{x}"), *[F.col(c).alias(c + x) for c in ("rep", "n", "component", "parity")])
     both = cells.join(side("a"), ["ga", "ia"]).join(side("b"), ["gb", "ib"]).where("componenta <> componentb").where("ga < gb or ia < ib or repa < repb")
@@ -311,10 +310,11 @@ def class_components(classes: DataFrame) -> DataFrame:
     members = items.select("rep", "gkey", "n", "parity").join(groups.select("gkey", F.col("leader").alias("gid")), "gkey")
     members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", "n", "parity", F.coalesce("component", "rep").alias("component"))
     members = materialize(members, "members")
-    spans = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = F.ceil(F.count("*") / MEMBER_BLOCK).alias("blocks")
+    spans = materialize(members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks), "spans")
     pairs = _group_pairs(groups.select(F.col("leader").alias("gid"), "n", "alone", F.col("leading").alias("prefix")), spans)
-    found = materialize(_verified(_member_pairs(pairs, members), items), "found")
-    drop(items, groups, members, pairs)
+    found = materialize(_verified(_member_pairs(pairs, members, spans), items), "found")
+    drop(items, groups, members, spans, pairs)
     return merge_links(labels, found)
 
 
