@@ -138,6 +138,41 @@ def test_language_model_trains_on_every_document(spark, monkeypatch):
     assert seen.value == len(rows)
 
 
+def test_step_follows_the_plain_gradient():
+    """One step against loops over tokens in double precision."""
+    from tidemark.llm.lmscore import CLASSES, VOCAB
+
+    rng = np.random.default_rng(1)
+    net = Network(np.sort(rng.integers(0, 2**63, 500).astype(np.uint64)), rng.integers(1, 90, 500).astype(float), 30_000)
+    net.p = {k: (x + rng.normal(0, 0.2, x.shape)).astype(np.float32) for k, x in net.p.items()}
+    context, target = rng.integers(0, 40, (4, 96)), rng.integers(0, VOCAB, 96)
+    context[:, :3] = VOCAB  # beyond the ends
+    p = {k: x.astype(float) for k, x in net.p.items()}
+    change = {k: np.zeros_like(x) for k, x in p.items()}
+    log_p = np.zeros(96)
+    for i, t in enumerate(target):
+        h = np.tanh(sum(p["e"][k, context[k, i]] for k in range(4)) + p["b"])
+        z, c = h @ p["w"], t % CLASSES
+        levels = [z[:CLASSES] + p["bc"], z[CLASSES:] + p["bw"][c]]
+        errors = [np.exp(x) / np.exp(x).sum() for x in levels]
+        log_p[i] = np.log(errors[0][c]) + np.log(errors[1][t // CLASSES])
+        errors[0][c] -= 1
+        errors[1][t // CLASSES] -= 1
+        both = np.concatenate(errors)
+        dh = (p["w"] @ both) * (1 - h * h)
+        change["w"] += np.outer(h, both)
+        change["bc"] += errors[0]
+        change["bw"][c] += errors[1]
+        change["b"] += dh
+        for k in range(4):
+            change["e"][k, context[k, i]] += dh
+    np.testing.assert_allclose(net.log_probability(context, target), log_p, rtol=1e-4)
+    np.testing.assert_allclose(net.forward(context, target)[2], log_p, rtol=1e-4)
+    net.step(context, target, 0.2)
+    for k, x in net.p.items():
+        np.testing.assert_allclose(x, p[k] - change[k] * 0.2 / np.sqrt(96), atol=2e-5, err_msg=k)
+
+
 def test_network_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     net = Network(np.sort(rng.integers(0, 2**63, 50).astype(np.uint64)), np.ones(50), 100)

@@ -33,6 +33,9 @@ VOCAB = CLASSES * PER_CLASS
 #: Ids of words outside the known ones, by hash.
 OTHER = 256
 SIDES = (-2, -1, 1, 2)
+#: First embedding row of each side, and the places of each row's numbers.
+SIDE_ROWS = np.arange(len(SIDES))[:, None] * (VOCAB + 1)
+CELLS = np.arange(len(SIDES) * (VOCAB + 1) * HIDDEN).reshape(-1, HIDDEN)
 #: Rounds of averaging; together they train on every document.
 ROUNDS = 2
 BATCH, RATE = 256, 0.2
@@ -134,52 +137,58 @@ class Network:
         return out
 
     def _levels(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hidden layer, unnormalised probabilities of both levels side by side, their sums, and log-probability; context is (sides, n)."""
-        p = self.p
-        h = p["e"][0][context[0]]
-        for s in range(1, len(SIDES)):
-            h += p["e"][s][context[s]]
+        """Embedding rows of the neighbours, hidden layer, logits of both levels side by side, and the flat places of the target's two
+        logits; context is (sides, n)."""
+        p, n = self.p, len(target)
+        rows = (context + SIDE_ROWS).ravel()
+        h = p["e"].reshape(-1, HIDDEN).take(rows, 0, mode="clip").reshape(len(SIDES), n, HIDDEN).sum(0)
         h += p["b"]
         np.tanh(h, out=h)
-        cls, word, at = target % CLASSES, target // CLASSES, np.arange(len(target))
+        cls = target % CLASSES
+        bias = np.empty((CLASSES, CLASSES + PER_CLASS), np.float32)  # one row for each class
+        bias[:, :CLASSES], bias[:, CLASSES:] = p["bc"], p["bw"]
         z = h @ p["w"]
-        z[:, :CLASSES] += p["bc"]
-        z[:, CLASSES:] += p["bw"][cls]
-        np.minimum(z, LARGEST, out=z)
-        chosen = z[at, cls] + z[at, CLASSES + word]
-        np.exp(z, out=z)
-        sums = z.reshape(len(z), 2, -1).sum(2)  # both levels have as many entries
-        return h, z, sums, chosen - np.log(sums).sum(1)
+        z += bias.take(cls, 0, mode="clip")
+        if n and z.max() > LARGEST:
+            np.minimum(z, LARGEST, out=z)
+        first = np.arange(n) * z.shape[1]
+        return rows, h, z, np.concatenate([first + cls, first + (CLASSES + target // CLASSES)])
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return self._levels(context, target)[3]
+        _, _, z, places = self._levels(context, target)
+        chosen = z.take(places, mode="clip").reshape(2, -1).sum(0)
+        return chosen - np.log(_sums(np.exp(z, out=z))).reshape(-1, 2).sum(1)
 
-    def forward(self, context: np.ndarray, target: np.ndarray):
-        """Hidden layer, both softmaxes side by side, and log-probability; context is (sides, n)."""
-        h, z, sums, log_p = self._levels(context, target)
-        z.reshape(len(z), 2, -1)[:] /= sums[:, :, None]
-        return h, z, log_p
+    def forward(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden layer, both softmaxes side by side, and log-probability."""
+        _, h, z, places = self._levels(context, target)
+        z.reshape(-1, CLASSES)[:] = np.exp(z.reshape(-1, CLASSES)) / _sums(np.exp(z))[:, None]
+        return h, z, np.log(z.take(places)).reshape(2, -1).sum(0)
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        p = self.p
-        h, error, _ = self.forward(context, target)
-        at, cls, word = np.arange(len(target)), target % CLASSES, target // CLASSES
-        error[at, cls] -= 1
-        error[at, CLASSES + word] -= 1
-        scale = np.float32(rate / np.sqrt(len(target)))
-        error *= scale
-        dh = error @ p["w"].T
+        """One step against the gradient of the batch's summed log-loss, divided by the root of the batch's size."""
+        p, n = self.p, len(target)
+        rows, h, error, places = self._levels(context, target)
+        scale = np.float32(rate / np.sqrt(n))
+        np.exp(error, out=error)
+        error.reshape(-1, CLASSES)[:] *= (scale / _sums(error))[:, None]
+        error.reshape(-1)[places] -= scale
+        dh = error @ np.ascontiguousarray(p["w"].T)
         dh *= 1 - h * h
+        ones = np.ones(n, np.float32)
         p["w"] -= h.T @ error
-        p["bc"] -= error[:, :CLASSES].sum(0)
-        p["b"] -= dh.sum(0)
-        hot = np.zeros((CLASSES, len(target)), np.float32)
-        hot[cls, at] = 1
+        p["bc"] -= ones @ error[:, :CLASSES]
+        p["b"] -= ones @ dh
+        hot = np.zeros((CLASSES, n), np.float32)
+        hot[target % CLASSES, np.arange(n)] = 1
         p["bw"] -= hot @ error[:, CLASSES:]
         # Single numbers, as NumPy has a fast loop for those only.
-        rows = (context + np.arange(len(SIDES))[:, None] * (VOCAB + 1)) * HIDDEN
-        cells = rows[:, :, None] + np.arange(HIDDEN)
-        np.subtract.at(p["e"].reshape(-1), cells.ravel(), np.tile(dh.ravel(), len(SIDES)))
+        np.subtract.at(p["e"].reshape(-1), CELLS.take(rows, 0, mode="clip").ravel(), np.concatenate([dh.ravel()] * len(SIDES)))
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    """Sums of each level of (n, both levels), which have as many entries: (2 n,)."""
+    return z.reshape(-1, CLASSES) @ np.ones(CLASSES, np.float32)
 
 
 def _contexts(ids: np.ndarray, row_words: np.ndarray) -> np.ndarray:
@@ -205,9 +214,9 @@ def _train(shared, round_no: int):
                 tokens = net.tokens(hashes)[ids]
                 context = _contexts(tokens, row_words)
                 order = np.random.default_rng(round_no).permutation(len(tokens))
+                context, tokens = context.take(order, 1), tokens.take(order)
                 for a in range(0, len(order), BATCH):
-                    some = order[a : a + BATCH]
-                    net.step(context[:, some], tokens[some], RATE)
+                    net.step(context[:, a : a + BATCH], tokens[a : a + BATCH], RATE)
                 seen += len(tokens)
         if seen:
             parts = np.array_split(net.flat(), PIECES)
