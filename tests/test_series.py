@@ -189,3 +189,25 @@ def test_projection(spark):
     assert plan.count() == 1 and P.time_range(df, "ts", "2018-01-02 00:00:00").count() == 0
     nan = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in P.without_nan(nan, "x").collect()] == [1.0]
+
+
+ODD_FLOATS = [0.1, -1000.0, 2.0**-50, 1e-300, float("nan"), 560.21, None, 0.3, float("inf"), -0.1, 5e-324, float("-inf"), 1e16, 1.0, 29.27]
+
+
+@pytest.mark.parametrize("kind", [T.DoubleType(), T.FloatType()])
+@pytest.mark.parametrize("mode", ["m", "e"])
+@pytest.mark.parametrize("values", [ODD_FLOATS, [1.7e308, -1.7e308, 0.1], [0.07 * k % 1.3 for k in range(300)], [None, float("nan")]])
+def test_floats_decode_exactly(spark, values, mode, kind):
+    with np.errstate(over="ignore"):
+        df = column(spark, [x if x is None or kind == T.DoubleType() else float(np.float32(x)) for x in values], kind)
+    out = C.encode(df, "x", mode, "ts", ["ts"], ["box"])
+    back = C.decode(out, mode, "ts", ["ts"], ["box"])
+    assert back.schema["decoded"].dataType == kind
+    assert back.where("not decoded <=> x").count() == 0 and back.count() == len(values)
+
+
+def test_parts_of_a_sum_may_overflow(spark):
+    rows = [("a", DAY + dt.timedelta(hours=i), 2**62 * (-1) ** i) for i in range(20)]
+    df = spark.createDataFrame(rows, "box string, ts timestamp_ntz, step long").repartitionByRange(2, "step")
+    sums = X.with_running_sum(df, "ts", ["ts"], "step", "s", ["box"])
+    assert [r["s"] for r in sums.orderBy("ts").collect()] == [2**62, 0] * 10 and sums.schema["s"].dataType == T.LongType()

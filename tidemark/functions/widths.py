@@ -77,6 +77,23 @@ def float_bits(value: Column) -> Column:
     return F.try_reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value.cast("double")).cast("long")
 
 
+def float_number(value: Column) -> Column:
+    """The place of a float among all doubles, as a long: its bits, mirrored below zero so that the order stays; to the planner like ``float_bits``."""
+    bits = float_bits(value)
+    return bits.bitwiseXOR(F.shiftrightunsigned(F.shiftright(bits, 63), 1))
+
+
+def float_of_number(number: Column) -> Column:
+    """The double at a place that ``float_number`` gave, exactly: every power and product here is a double itself."""
+    bits = number.bitwiseXOR(F.shiftrightunsigned(F.shiftright(number, 63), 1)).bitwiseAND(F.lit(2**63 - 1))
+    exponent, fraction = F.shiftright(bits, 52), bits.bitwiseAND(F.lit(2**52 - 1))
+    scale = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(1)) - 1075)
+    size = (fraction + F.when(exponent > 0, F.lit(2**52)).otherwise(F.lit(0))).cast("double") * scale
+    odd = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    whole = F.when(exponent == 2047, odd).otherwise(size)
+    return F.when(number < 0, -whole).otherwise(whole)
+
+
 def value_float_width(value: Column, bits: Column) -> Column:
     """Narrowest float (2, 4, 8 bytes) that holds one double exactly; null for NaN and null.
 

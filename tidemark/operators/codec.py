@@ -2,7 +2,11 @@
 
 References are one row per box, joined back. NaN, the infinities and null stay out of references and differences and come back as they were:
 'e' takes the difference to the last value before that is none of them. The reference is null where a value is encoded as itself: in boxes of 64-bit integers
-whose range needs more than 63 bits, and on the null rows of 'e'. Integer columns decode exactly, floats in 'e' up to rounding.
+whose range needs more than 63 bits, and on the null rows of 'e'. All columns decode exactly, but floats of
+``decode_over`` only up to rounding.
+
+A difference of floats is rounded, so it does not say the value. In 'm' the column ``rest`` holds what the reference and the difference lack. In 'e'
+floats are replaced by their places among all doubles (``float_number``), and differences are of these integers: their sums are exact in any order. Boxes whose floats differ by more than a float or 63 bits of places hold are encoded as they are, like NaN and the infinities (in places the reference is then null).
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.exceptions import CompressionError, CompressionModeInvalidError
 from tidemark.functions.rounding import round_decode, round_encode
-from tidemark.functions.widths import float_bits, range_char, range_width, value_float_width
+from tidemark.functions.widths import float_bits, float_number, float_of_number, range_char, range_width, value_float_width
 from tidemark.operators.timeindex import with_previous, with_running_sum
 
 
@@ -50,9 +54,13 @@ def is_identity(kind: T.DataType, n_points: int, mode: str) -> bool:
     return isinstance(kind, T.ByteType) or (mode == "e" and n_points == 1)
 
 
+def is_float(kind: T.DataType) -> bool:
+    return isinstance(kind, T.FloatType | T.DoubleType)
+
+
 def present(x: Column, kind: T.DataType) -> Column:
     """The value, with NaN and the infinities as null."""
-    return F.when(F.abs(x) < float("inf"), x) if isinstance(kind, T.FloatType | T.DoubleType) else x
+    return F.when(F.abs(x) < float("inf"), x) if is_float(kind) else x
 
 
 def widened(value: Column, kind: T.DataType) -> Column:
@@ -61,7 +69,9 @@ def widened(value: Column, kind: T.DataType) -> Column:
 
 
 def fits(least: Column, most: Column, kind: T.DataType) -> Column:
-    """Whether all differences of values in [least, most] are of the column's type: only longs can fail."""
+    """Whether all differences of values in [least, most] are of the column's type: only longs and floats can fail."""
+    if is_float(kind):
+        return most - least < float("inf")
     if not isinstance(kind, T.LongType):
         return F.lit(True)
     return most.cast("decimal(20,0)") - least.cast("decimal(20,0)") <= F.lit(Decimal(2**63 - 1))
@@ -74,7 +84,11 @@ def references(df: DataFrame, column: str, mode: str, order: list[str], box: lis
     check_type(kind)
     value = present(F.col(f"`{column}`"), kind)
     ref = F.min(value) if mode == "m" else F.min_by(value, F.when(value.isNotNull(), F.struct(*order)))
-    return df.groupBy(*(box or [])).agg(F.when(fits(F.min(value), F.max(value), kind), widened(ref, kind)).alias("ref"))
+    found = df.groupBy(*(box or [])).agg(F.min(value).alias("__tm_least"), F.max(value).alias("__tm_most"), widened(ref, kind).alias("ref"))
+    least, most = F.col("__tm_least"), F.col("__tm_most")
+    if mode == "e" and is_float(kind):
+        least, most, kind = float_number(least), float_number(most), T.LongType()
+    return found.select(*(box or []), F.when(fits(least, most, kind), F.col("ref")).alias("ref"))
 
 
 def _with_reference(df: DataFrame, refs: DataFrame, box: list[str]) -> DataFrame:
@@ -91,39 +105,47 @@ def _odd(x: Column, kind: T.DataType) -> Column:
 
 def difference(value: Column, ref: Column, before: Column | None, mode: str, kind: T.DataType) -> Column:
     """The encoded form of ``value``, for odd values the value itself; ``before`` is the last finite value before it."""
-    itself = ref.isNull() | _odd(value, kind) if isinstance(kind, T.FloatType | T.DoubleType) else ref.isNull()
+    itself = ref.isNull() | _odd(value, kind) if is_float(kind) else ref.isNull()
     return F.when(itself, value).otherwise(value - (ref if mode == "m" else before))
 
 
 def restored(encoded: Column, ref: Column, offset: Column, kind: T.DataType) -> Column:
     """The value of an encoded row; ``offset`` is what the reference lacks (in 'e' the sum of the differences so far)."""
     out = F.when(ref.isNull(), encoded)
-    if isinstance(kind, T.FloatType | T.DoubleType):
+    if is_float(kind):
         out = out.when(_odd(encoded, kind), encoded)
     return out.otherwise(ref + offset)
 
 
 def encode(df: DataFrame, column: str, mode: str, ts: str, order: list[str], box: list[str] | None = None) -> DataFrame:
-    """Adds ref and encoded; in mode 'e' the first value of a box has a null, as it is the reference itself."""
-    kind = df.schema[column].dataType
-    refs, value = references(df, column, mode, order, box), widened(F.col(f"`{column}`"), kind)
+    """Adds ref and encoded, in mode 'm' of floats also rest; in mode 'e' the first value of a box has a null, as it is the reference itself."""
+    kind, given = df.schema[column].dataType, F.col(f"`{column}`")
+    refs, value, ref = references(df, column, mode, order, box), widened(given, kind), F.col("ref")
     if mode == "m":
-        return _with_reference(df, refs, box or []).withColumn("encoded", difference(value, F.col("ref"), None, mode, kind))
-    both = df.withColumn("__tm_present", widened(present(F.col(f"`{column}`"), kind), kind))
+        out = _with_reference(df, refs, box or []).withColumn("encoded", difference(value, ref, None, mode, kind))
+        # Like the sum of reference and difference, so the subtraction is exact.
+        return out.withColumn("rest", F.when(ref.isNotNull(), present(value, kind) - (ref + F.col("encoded")))) if is_float(kind) else out
+    both = df.withColumn("__tm_value", float_number(given) if is_float(kind) else value)
+    both = both.withColumn("__tm_present", F.when(present(given, kind).isNotNull(), F.col("__tm_value")))
     both = with_previous(both, ts, order, {"__tm_before": "__tm_present"}, box, skip_nulls=True)
-    both = _with_reference(both, refs, box or []).withColumn("ref", F.when(F.col(f"`{column}`").isNotNull(), F.col("ref")))
-    return both.withColumn("encoded", difference(value, F.col("ref"), F.col("__tm_before"), mode, kind)).drop("__tm_before", "__tm_present")
+    both = _with_reference(both, refs, box or []).withColumn("ref", F.when(F.col("__tm_present").isNotNull(), ref))
+    return both.withColumn("encoded", difference(F.col("__tm_value"), ref, F.col("__tm_before"), mode, T.LongType())).drop("__tm_before", "__tm_present", "__tm_value")
 
 
 def decode(df: DataFrame, mode: str, ts: str, order: list[str], box: list[str] | None = None, name: str = "decoded") -> DataFrame:
-    """Adds the value again from ref and encoded."""
+    """Adds the value again from ref and encoded (and rest, where ``encode`` gave one)."""
     check_mode(mode)
-    kind = df.schema["encoded"].dataType
+    kind, ref_kind, encoded, ref = df.schema["encoded"].dataType, df.schema["ref"].dataType, F.col("encoded"), F.col("ref")
     if mode == "m":
-        return df.withColumn(name, restored(F.col("encoded"), F.col("ref"), F.col("encoded"), kind))
-    steps = df.withColumn("__tm_step", F.when(F.col("ref").isNotNull(), present(F.col("encoded"), kind)))
+        value = restored(encoded, ref, encoded, kind)
+        if is_float(kind) and "rest" in df.columns:
+            value = F.when(F.col("rest").isNotNull(), value + F.col("rest")).otherwise(value)
+        return df.withColumn(name, value)
+    places = is_float(ref_kind)
+    steps = df.withColumns({"__tm_step": F.when(ref.isNotNull(), encoded), "__tm_ref": float_number(ref) if places else ref})
     summed = with_running_sum(steps, ts, order, "__tm_step", "__tm_offset", box)
-    return summed.withColumn(name, restored(F.col("encoded"), F.col("ref"), F.col("__tm_offset"), kind)).drop("__tm_offset", "__tm_step")
+    value = restored(encoded, F.col("__tm_ref"), F.col("__tm_offset"), kind)
+    return summed.withColumn(name, float_of_number(value).cast(ref_kind) if places else value).drop("__tm_offset", "__tm_step", "__tm_ref")
 
 
 def encode_over(value: Column, kind: T.DataType, mode: str, rows: WindowSpec) -> tuple[Column, Column]:

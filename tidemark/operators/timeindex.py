@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.exceptions import DateDataError
 from tidemark.functions.units import MICRO_UNITS, micros
@@ -83,12 +84,16 @@ def with_previous(
 def with_running_sum(
     df: DataFrame, ts: str, order: list[str], column: str, name: str, box: list[str] | None = None, block_us: int = DAY_US
 ) -> DataFrame:
-    """Adds the sum of ``column`` up to each row of its box; nulls count as 0."""
-    box = box or []
+    """Adds the sum of ``column`` up to each row of its box; nulls count as 0.
+
+    Longs of a block are summed as decimals: combined in any order, some of them may need more bits than all of them together.
+    """
+    box, kind = box or [], df.schema[column].dataType
+    summand, back = (F.col(column).cast("decimal(20,0)"), "long") if isinstance(kind, T.LongType) else (F.col(column), None)
     blocked = with_block(df, ts, block_us, "__tm_block")
     rows = Window.partitionBy(*box, "__tm_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     blocks = Window.partitionBy(*box).orderBy("__tm_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked.groupBy(*box, "__tm_block").agg(F.sum(column).alias("__tm_sum"))
+    sums = blocked.groupBy(*box, "__tm_block").agg((F.sum(summand).cast(back) if back else F.sum(summand)).alias("__tm_sum"))
     before = sums.select(*[F.col(b).alias(f"__tm_b{i}") for i, b in enumerate(box)], F.col("__tm_block").alias("__tm_at"), F.sum("__tm_sum").over(blocks).alias("__tm_before"))
     same = [F.col(b).eqNullSafe(F.col(f"__tm_b{i}")) for i, b in enumerate(box)]
     joined = blocked.join(before, [*same, F.col("__tm_block").eqNullSafe(F.col("__tm_at"))])
