@@ -215,3 +215,23 @@ def test_stream_keeps_tags_named_like_its_own_columns(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts", ["box"], "x").awaitTermination(60)
     assert same(spark.read.parquet(str(tmp_path / "in")), read_appended(spark, str(tmp_path / "out"), "x"))
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+@pytest.mark.parametrize("mode", ["m", "e"])
+def test_store_keeps_floats_exactly(spark, tmp_path, mode, kind):
+    odd = [0.1, -1000.0, 2.0**-50, 1e-30, float("nan"), 560.21, None, 0.3, float("inf"), -0.1, float("-inf"), 1e16] + [0.07 * k % 1.3 for k in range(300)]
+    rows = [("a", DAY + dt.timedelta(minutes=i), i, x) for i, x in enumerate(odd)]
+    df = spark.createDataFrame(rows, "box string, ts timestamp_ntz, id long, x double").withColumn("x", F.col("x").cast(kind))
+    store.save(df, str(tmp_path / "s"), "ts", ["ts", "id"], ["box"], [TagSpec("x", use_compression=True, mode=mode)])
+    assert same(df, store.load(spark, str(tmp_path / "s")))
+    part = store.load(spark, str(tmp_path / "s"), None, "2018-01-01 01:00:00", "2018-01-01 02:00:00")
+    assert same(df.where("ts between '2018-01-01 01:00:00' and '2018-01-01 02:00:00'"), part)
+
+
+def test_stream_keeps_floats_exactly(spark, tmp_path):
+    df = events(spark, 60).withColumn("x", F.col("id") * 0.07 - 1)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts", ["box"], "x").awaitTermination(60)
+    assert same(df, read_appended(spark, str(tmp_path / "out"), "x"))

@@ -2,11 +2,11 @@
 
 References are one row per box, joined back. NaN, the infinities and null stay out of references and differences and come back as they were:
 'e' takes the difference to the last value before that is none of them. The reference is null where a value is encoded as itself: in boxes of 64-bit integers
-whose range needs more than 63 bits, and on the null rows of 'e'. All columns decode exactly, but floats of
-``decode_over`` only up to rounding.
+whose range needs more than 63 bits, and on the null rows of 'e'. All columns decode exactly.
 
-A difference of floats is rounded, so it does not say the value. In 'm' the column ``rest`` holds what the reference and the difference lack. In 'e'
-floats are replaced by their places among all doubles (``float_number``), and differences are of these integers: their sums are exact in any order. Boxes whose floats differ by more than a float or 63 bits of places hold are encoded as they are, like NaN and the infinities (in places the reference is then null).
+A difference of floats is rounded, so it does not say the value. In 'm' the column ``rest`` holds what the reference and the difference lack. In 'e', and wherever
+``encode_over`` works, floats are replaced by their places among all doubles (``float_number``), and differences are of these integers: their sums are exact in any
+order. Boxes whose floats differ by more than a float or 63 bits of places hold are encoded as they are, like NaN and the infinities (in places the reference is then null).
 """
 
 from __future__ import annotations
@@ -149,25 +149,31 @@ def decode(df: DataFrame, mode: str, ts: str, order: list[str], box: list[str] |
 
 
 def encode_over(value: Column, kind: T.DataType, mode: str, rows: WindowSpec) -> tuple[Column, Column]:
-    """(ref, encoded) with a reference for each partition of the ordered window ``rows`` in place of each box: nothing crosses partitions."""
+    """(ref, encoded) with a reference for each partition of the ordered window ``rows`` in place of each box: nothing crosses partitions.
+
+    Of floats both are places, longs, in both modes.
+    """
     check_mode(mode)
     check_type(kind)
     whole = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    real = widened(present(value, kind), kind)
+    there, stored = present(value, kind).isNotNull(), float_number(value) if is_float(kind) else widened(value, kind)
+    real, long = (F.when(there, stored), T.LongType()) if is_float(kind) else (stored, kind)
     least, most = F.min(real).over(whole), F.max(real).over(whole)
-    ref = least if mode == "m" else F.when(value.isNotNull(), F.first(real, ignorenulls=True).over(whole))
-    ref = F.when(fits(least, most, kind), ref)
+    ref = least if mode == "m" else F.first(real, ignorenulls=True).over(whole)
+    ref = F.when(there & fits(least, most, long) if mode == "e" or is_float(kind) else fits(least, most, long), ref)
     before = None if mode == "m" else F.last(real, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
-    return ref, difference(widened(value, kind), ref, before, mode, kind)
+    return ref, difference(stored, ref, before, mode, long)
 
 
-def decode_over(encoded: Column, ref: Column, kind: T.DataType, mode: str, rows: WindowSpec) -> Column:
-    """The inverse of ``encode_over``; ``kind`` is the type of the encoded column."""
+def decode_over(encoded: Column, ref: Column, kind: T.DataType, mode: str, rows: WindowSpec, places: bool = False) -> Column:
+    """The inverse of ``encode_over``; ``kind`` is the type of the encoded column, ``places`` says that it stands for doubles."""
     if mode == "m":
-        return restored(encoded, ref, encoded, kind)
-    step = F.when(ref.isNotNull(), present(encoded, kind))
-    offset = F.coalesce(F.sum(step).over(rows.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return restored(encoded, ref, offset, kind)
+        value = restored(encoded, ref, encoded, kind)
+    else:
+        step = F.when(ref.isNotNull(), present(encoded, kind))
+        offset = F.coalesce(F.sum(step).over(rows.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+        value = restored(encoded, ref, offset, kind)
+    return float_of_number(value) if places else value
 
 
 def encoded_width(encoded: DataFrame, box: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ and pages by the block's statistics, also for columns in mode 'e', which are the
 columns in the scan. Stored columns have names of their own (``b0``, ``o0``, ``t0``, ...), so tags, boxes and order columns may have any
 name and box values any text; the layout keeps names and types. The writers commit by rename, so a failed write leaves no half table.
 
-Nulls, NaN and infinities come back as they were in every mode; rows with a null time are a block of their own and lie in no time range.
+Nulls, NaN and infinities come back as they were in every mode, and so do all floats: a compressed float column is stored as places of doubles (longs;
+older folders have rounded differences and are read as such). Rows with a null time are a block of their own and lie in no time range.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.rounding import round_decode, round_encode
 from tidemark.functions.types import tag_columns, type_of_spark
-from tidemark.operators.codec import TagSpec, decode_over, encode_over
+from tidemark.operators.codec import TagSpec, decode_over, encode_over, is_float
 from tidemark.operators.projection import time_range
 from tidemark.operators.timeindex import EPOCH, block_for, with_block
 from tidemark.plans.catalog import validate_schema
@@ -54,7 +55,7 @@ def save(
     for i, name in enumerate(tags):
         spec, value = specs_by.get(name, TagSpec(name)), F.col(f"t{i}")
         stored, kind = (round_encode(value, spec.decimals), T.LongType()) if spec.rounded else (value, kinds[name])
-        if spec.rounded and isinstance(kinds[name], T.FloatType | T.DoubleType):
+        if spec.rounded and is_float(kinds[name]):
             made[f"n{i}"] = F.isnan(value)
         if spec.use_compression:
             made[f"r{i}"], stored = encode_over(stored, kind, spec.mode, _rows(box, order))
@@ -92,7 +93,9 @@ def load(spark: SparkSession, path: str, tags: list[str] | None = None, start: s
         i, kind = r["ord"], T._parse_datatype_json_string(r["type"])
         value = F.col(f"t{i}")
         if r["use_compression"]:
-            value = decode_over(value, F.col(f"r{i}"), df.schema[f"t{i}"].dataType, r["mode"], _rows(box, order))
+            stored = df.schema[f"t{i}"].dataType
+            places = is_float(kind) and not r["rounded"] and not is_float(stored)
+            value = decode_over(value, F.col(f"r{i}"), stored, r["mode"], _rows(box, order), places)
         if r["rounded"]:
             value = round_decode(value, r["decimals"])
             if f"n{i}" in df.columns:

@@ -11,18 +11,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.codec import decode_over, encode_over
+from tidemark.operators.codec import decode_over, encode_over, is_float
 from tidemark.operators.timeindex import with_block
 
 BLOCK, REF, ENCODED = "tidemark_block", "tidemark_ref", "tidemark_encoded"
+#: In place of REF and ENCODED where the tag holds floats, which are stored as places of doubles; batches of earlier versions lie beside them as they are.
+PLACE_REF, PLACES = "tidemark_place_ref", "tidemark_places"
 
 
 def encode_batch(batch: DataFrame, ts: str, box: list[str], tag: str) -> DataFrame:
     """Adds the block, the reference (minimum of box and block in this batch) and the encoded tag."""
     blocked = with_block(batch, ts, name=BLOCK)
     part = Window.partitionBy(*box, BLOCK).orderBy(ts)
-    ref, encoded = encode_over(F.col(f"`{tag}`"), batch.schema[tag].dataType, "m", part)
-    return blocked.withColumns({REF: ref, ENCODED: encoded})
+    kind = batch.schema[tag].dataType
+    ref, encoded = encode_over(F.col(f"`{tag}`"), kind, "m", part)
+    return blocked.withColumns({PLACE_REF: ref, PLACES: encoded} if is_float(kind) else {REF: ref, ENCODED: encoded})
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, ts: str, box: list[str], tag: str) -> StreamingQuery:
@@ -38,7 +41,10 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, ts: str, box: l
 
 
 def read_appended(spark, path: str, tag: str) -> DataFrame:
-    """All points with the tag decoded; integers of fewer than 8 bytes come back as long."""
-    rows = spark.read.parquet(path)
-    value = decode_over(F.col(ENCODED), F.col(REF), rows.schema[ENCODED].dataType, "m", Window.partitionBy(BLOCK).orderBy(BLOCK))
-    return rows.withColumn(tag, value).drop(ENCODED, REF, BLOCK, "tidemark_batch")
+    """All points with the tag decoded; integers of fewer than 8 bytes come back as long, floats as double."""
+    rows, part = spark.read.option("mergeSchema", True).parquet(path), Window.partitionBy(BLOCK).orderBy(BLOCK)
+    values = [
+        decode_over(F.col(encoded), F.col(ref), rows.schema[encoded].dataType, "m", part, encoded == PLACES)
+        for ref, encoded in ((PLACE_REF, PLACES), (REF, ENCODED)) if encoded in rows.columns
+    ]
+    return rows.withColumn(tag, F.coalesce(*values)).drop(ENCODED, REF, PLACES, PLACE_REF, BLOCK, "tidemark_batch")
