@@ -230,7 +230,7 @@ def test_store_keeps_floats_exactly(spark, tmp_path, mode, kind):
 
 
 def test_stream_keeps_floats_exactly(spark, tmp_path):
-    df = events(spark, 60).withColumn("x", F.col("id") * 0.07 - 1)
+    df = events(spark, 60).withColumn("x", F.col("id") / 7 - 1000.1)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts", ["box"], "x").awaitTermination(60)
