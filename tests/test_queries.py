@@ -38,6 +38,16 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["pandas_file"])
+def test_rows_stay_on_executors(spark, monkeypatch, name):
+    def refuse(*_, **__):
+        raise AssertionError("all rows on the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", refuse)
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    assert QUERIES[name](spark, DATA).count() > 0
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 5
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())

@@ -167,6 +167,28 @@ def test_pandas_and_csv(spark, tmp_path):
     assert tables.read_pickle(spark, str(tmp_path / "p")).count() == 3
 
 
+def gaps(spark, n=50):
+    """Ties in time, longs of the full range, and null beside NaN."""
+    rows = [(DAY + dt.timedelta(hours=i // 3), i, None if i % 4 == 0 else 2**63 - 1 - i, None if i % 5 == 0 else float("nan") if i % 7 == 0 else i / 7) for i in range(n)]
+    return spark.createDataFrame(rows, "ts timestamp_ntz, id long, x long, y double").repartition(3)
+
+
+def test_files_of_frames(spark, tmp_path):
+    df, path = gaps(spark).drop("x"), str(tmp_path / "f")
+    assert tables.write_frames(df, path, tables.save_pandas, rows=7) >= 8
+    back = tables.read_frames(spark, path, tables.load_pandas)
+    assert same(df.withColumn("y", F.coalesce("y", F.lit(float("nan")))), back)
+    times = [r["ts"] for r in back.collect()]
+    assert times == sorted(times)
+    assert tables.write_frames(df.limit(0), path, tables.save_pandas) == 1
+    assert tables.read_frames(spark, path, tables.load_pandas).schema == back.schema and tables.read_frames(spark, path, tables.load_pandas).count() == 0
+    with pytest.raises(Exception, match="integer columns of a file can't hold"):
+        tables.write_frames(gaps(spark), path, tables.save_pandas)
+    with pytest.raises(E.InvalidPandasDataTypeError):
+        tables.write_frames(df.withColumn("z", F.lit("text")), path, tables.save_pandas)
+    assert [p.name for p in tmp_path.iterdir()] == ["f"]
+
+
 def _hold(path, mode, ready, done):
     with lock.locked(path, mode):
         ready.set()
@@ -230,7 +252,7 @@ def test_store_keeps_floats_exactly(spark, tmp_path, mode, kind):
 
 
 def test_stream_keeps_floats_exactly(spark, tmp_path):
-    df = events(spark, 60).withColumn("x", F.col("id") / 7 - 1000.1)
+    df = events(spark, 60).withColumn("x", F.when(F.col("id") % 12 < 2, -1000.1).otherwise(F.col("id") / 7))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts", ["box"], "x").awaitTermination(60)
