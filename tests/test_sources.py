@@ -189,6 +189,13 @@ def test_files_of_frames(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["f"]
 
 
+def test_frames_keep_nulls_and_nan(spark):
+    df = gaps(spark).withColumn("u", F.lit("18446744073709551615").cast("decimal(20,0)"))
+    back = tables.from_frames(df, tables.indexed)
+    assert back.schema == tables.from_pandas(spark, tables.indexed(pd.DataFrame({"ts": [DAY], "id": [1], "x": [2], "y": [0.5], "u": np.array([1], np.uint64)}))).schema
+    assert same(df, back) and back.columns == ["ts", "id", "u", "x", "y"]
+
+
 def _hold(path, mode, ready, done):
     with lock.locked(path, mode):
         ready.set()

@@ -1,7 +1,7 @@
 """CSV, pandas and pickle in and out.
 
 A single frame (``from_pandas``, ``to_pandas``, ``save_pandas``, ``load_pandas``) must fit the driver's memory. A series of any size is many frames, made, written
-and read on executors (``write_frames``, ``read_frames``): no row of it reaches the driver. Columns of such
+and read on executors (``from_frames``, ``write_frames``, ``read_frames``): no row of it reaches the driver. Columns of such
 frames that hold nulls are of pandas' nullable types, so that null is neither NaN nor a reason to turn integers into floats.
 """
 
@@ -113,6 +113,27 @@ def _pandas(batch: pa.RecordBatch) -> pd.DataFrame:
     return pd.DataFrame(dict(enumerate(columns))).set_axis(batch.schema.names, axis=1)
 
 
+def indexed(rows: pd.DataFrame, ts: str = TIME) -> pd.DataFrame:
+    """Rows as ``to_pandas`` gives them: indexed by DateTimes, in time order, tags in code-point order."""
+    frame = rows[sorted(c for c in rows.columns if c != ts)]
+    return frame.set_axis(pd.DatetimeIndex(rows[ts], name="DateTimes")).sort_index(kind="stable")
+
+
+def from_frames(df: DataFrame, make: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """A series, in time order, from frames with time indexes, each made on an executor from a batch of the rows of ``df`` by ``make``.
+
+    All frames have the columns and types that ``make`` gives for no rows. Times come to it without a zone, as they are written in the session's.
+    """
+    df = df.withColumns({f.name: F.col(f"`{f.name}`").cast("timestamp_ntz") for f in df.schema if isinstance(f.dataType, T.TimestampType)})
+    schema = series_schema(make(_pandas(pa.RecordBatch.from_pylist([], to_arrow_schema(df.schema)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _series(make(_pandas(batch)), schema)
+
+    return df.mapInArrow(run, schema).orderBy(TIME)
+
+
 def _stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pd.DataFrame]:
     """The rows of a task as frames of ``rows`` rows."""
     held: list[pa.RecordBatch] = []
