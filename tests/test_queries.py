@@ -38,7 +38,7 @@ def test_query(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["pandas_file", "pandas_roundtrip", "parse_times"])
+@pytest.mark.parametrize("name", ["pandas_file", "pandas_roundtrip", "parse_times", "pickle_roundtrip"])
 def test_rows_stay_on_executors(spark, monkeypatch, name):
     def refuse(*_, **__):
         raise AssertionError("all rows on the driver")

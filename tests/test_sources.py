@@ -204,6 +204,15 @@ def test_texts_of_frames_are_parsed(spark):
         tables.from_frames(df.withColumn("text", F.lit("x")), make).count()
 
 
+def test_pickles_of_frames(spark, tmp_path):
+    path, one = str(tmp_path / "p"), str(tmp_path / "one.pickle")
+    for n in (50, 20):
+        tables.write_pickle(gaps(spark, n), path)
+        assert same(gaps(spark, n), tables.read_pickle(spark, path))
+    pd.DataFrame({"x": [1, 2]}, index=pd.to_datetime(["2020-01-02", "2020-01-01"])).to_pickle(one)
+    assert [r["x"] for r in tables.read_pickle(spark, one).collect()] == [2, 1]
+
+
 def _hold(path, mode, ready, done):
     with lock.locked(path, mode):
         ready.set()

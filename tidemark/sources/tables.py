@@ -1,7 +1,7 @@
 """CSV, pandas and pickle in and out.
 
 A single frame (``from_pandas``, ``to_pandas``, ``save_pandas``, ``load_pandas``) must fit the driver's memory. A series of any size is many frames, made, written
-and read on executors (``from_frames``, ``write_frames``, ``read_frames``): no row of it reaches the driver. Columns of such
+and read on executors (``from_frames``, ``write_frames``, ``read_frames`` and the pickle functions): no row of it reaches the driver. Columns of such
 frames that hold nulls are of pandas' nullable types, so that null is neither NaN nor a reason to turn integers into floats.
 """
 
@@ -265,15 +265,15 @@ def to_pandas(df: DataFrame, ts: str = TIME) -> pd.DataFrame:
     return df.select(F.col(ts).alias("DateTimes"), *[F.col(f"`{c}`") for c in tag_columns(df, ts)]).orderBy("DateTimes").toPandas().set_index("DateTimes")
 
 
+def _dump_pickle(frame: pd.DataFrame, path: str) -> None:
+    frame.to_pickle(path)
+
+
 def write_pickle(df: DataFrame, path: str, ts: str = TIME) -> None:
-    """The pandas frame of a series as a pickle on this machine, under the file lock."""
-    frame = to_pandas(df, ts)
-    with locked(path, "w"):
-        frame.to_pickle(path)
+    """The pandas frames of a series as a folder of pickles on storage that executors share (see ``write_frames``)."""
+    write_frames(df, path, _dump_pickle, ts)
 
 
 def read_pickle(spark: SparkSession, path: str) -> DataFrame:
-    """A pickled frame; only for files that you wrote yourself, as unpickling runs code."""
-    with locked(path, "r"):
-        frame = pd.read_pickle(path)
-    return from_pandas(spark, frame)
+    """A folder of pickled frames, or one file; only for files that you wrote yourself, as unpickling runs code."""
+    return read_frames(spark, path, pd.read_pickle)
