@@ -566,6 +566,32 @@ def test_toxicity_model_matches_brute_force(spark):
     np.testing.assert_allclose([g["score"] for g in got], 1 / (1 + np.exp(-(x @ w + bias))), atol=0.02)
 
 
+def test_toxicity_features_stay_on_executors(spark, monkeypatch):
+    """What the fit brings to the driver does not grow with the training documents."""
+    from tidemark.llm import toxicity as X
+
+    r = random.Random(12)
+    vocab = [f"word{i}" for i in range(300)]
+    rows = [(" ".join(r.choices(vocab, k=80) + ["awful"] * (i % 2)), i % 2) for i in range(800)]
+    frames = [spark.createDataFrame(rows[:n], "body string, label int").repartition(3) for n in (100, 800)]
+    brought = []
+    kind = type(frames[0])
+
+    def watched(self, collect=kind.collect):
+        got = collect(self)
+        brought[-1] += sum(len(v) for x in got for v in x if isinstance(v, (bytes, bytearray)))
+        return got
+
+    monkeypatch.setattr(kind, "collect", watched)
+    for frame in frames:
+        brought.append(0)
+        weights, _ = X.fit(frame, features=500)
+        assert 0 < np.count_nonzero(weights) <= 500
+    assert 0 < brought[0] and brought[1] - brought[0] < 8 * 500, brought
+    again = X.fit(frames[1].coalesce(1), features=500)[0]
+    np.testing.assert_allclose(weights, again, atol=0.02)
+
+
 def test_trees_match_brute_force(spark):
     """Boosted trees on a small table against plain loops over all splits."""
     from tidemark.llm import urlfilter as U

@@ -6,7 +6,8 @@ text scale the values, and a logistic regression is fitted on them by L-BFGS. Be
 document's score is a sum over its distinct words, and scoring is one pass with no shuffle.
 
 The classifier is fitted on at most ``sample`` labelled documents (the smallest by hash of the id, whole texts);
-scores cover all rows. What is broadcast is 2**18 weights at most.
+scores cover all rows. Their features are turned into weights by one task of an executor; only weights and sums reach the driver. What is
+broadcast is 2**18 weights at most.
 
 Edge cases: null and empty texts get the bias alone; a text of any length is read whole; labels that are null, or whose document is missing,
 are not used; of conflicting labels of one id the largest counts, for all rows of that id; rows that repeat are scored one by one; a score of
@@ -95,7 +96,8 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "sums": [total.astype(np.float32).tobytes()]})
 
 
-def _training_rows(chosen: np.ndarray):
+def _training_rows(chosen: np.ndarray, scale: np.ndarray):
+    """Per slice of documents: labels, number of features of each, and the features' numbers and scaled values, document by document."""
     slot = np.full(BUCKETS, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
 
@@ -106,9 +108,11 @@ def _training_rows(chosen: np.ndarray):
                 row, bucket, value = _expand(*parts)
                 keep = slot[bucket] >= 0
                 row, at, value = row[keep], slot[bucket[keep]], value[keep].astype(np.float32)
+                size = np.bincount(row, minlength=hi - lo).astype(np.int32)
+                x = (value * scale[at]).astype(np.float32)
                 yield pa.RecordBatch.from_pydict(
-                    {"label": [label[lo:hi].astype(np.int8).tobytes()], "row": [row.astype(np.int32).tobytes()],
-                     "at": [at.tobytes()], "value": [value.tobytes()]}
+                    {"label": [label[lo:hi].astype(np.int8).tobytes()], "size": [size.tobytes()],
+                     "at": [at.astype(np.min_scalar_type(len(chosen))).tobytes()], "value": [x.tobytes()]}
                 )
 
     return run
@@ -144,6 +148,32 @@ def lbfgs(f, w: np.ndarray, steps: int = 150, memory: int = 8) -> np.ndarray:
     return w
 
 
+def _solve(n_features: int, favour: float, bias: float):
+    """Weights of the features, then the bias, from all of ``_training_rows``; ``bias`` is where the bias starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int8, np.int32, np.min_scalar_type(n_features), np.float32)
+        parts = [[np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds, strict=True)] for b in batches for row in zip(*b.columns, strict=True)]
+        parts.sort(key=lambda x: (x[1].tobytes(), x[2].tobytes()))  # sums of floats must not depend on which task comes first
+
+        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+            value, grad = PENALTY / 2 * (w[:-1] @ w[:-1]), np.append(PENALTY * w[:-1], 0.0)
+            for y, size, col, x in parts:  # part by part, so that what is in flight stays small
+                row = np.repeat(np.arange(len(y)), size)
+                z = np.bincount(row, x * w[col], len(y)) + w[-1]
+                weight = np.where(y > 0, favour, 1.0)
+                value += weight @ (np.logaddexp(0, z) - y * z)
+                error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+                grad[:-1] += np.bincount(col, x * error[row], n_features)
+                grad[-1] += error.sum()
+            return value, grad
+
+        w = lbfgs(loss, np.append(np.zeros(n_features), bias))
+        yield pa.RecordBatch.from_pydict({"weights": [w.tobytes()]})
+
+    return run
+
+
 def fit(train: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, float]:
     """Weight of each bucket and bias from (body, label), a bounded sample; the ``features`` that tell most have weights."""
     sums = np.zeros((3, BUCKETS))
@@ -163,28 +193,11 @@ def fit(train: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, float]:
     chosen = chosen[strength[chosen] > 0]
     scale = ratio[chosen]
     favour = np.sqrt((n - n_toxic) / n_toxic)  # missing the rarer class costs more
-    got = train.mapInArrow(_training_rows(chosen), "label binary, row binary, at binary, value binary").collect()
-    parts = []
-    while got:
-        part = got.pop()
-        col = np.frombuffer(part["at"], np.int32)
-        x = (np.frombuffer(part["value"], np.float32) * scale[col]).astype(np.float32)
-        parts.append((np.frombuffer(part["label"], np.int8), np.frombuffer(part["row"], np.int32), col, x))
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        value, grad = PENALTY / 2 * (w[:-1] @ w[:-1]), np.append(PENALTY * w[:-1], 0.0)
-        for y, row, col, x in parts:  # part by part, so that what is in flight stays small
-            z = np.bincount(row, x * w[col], len(y)) + w[-1]
-            weight = np.where(y > 0, favour, 1.0)
-            value += weight @ (np.logaddexp(0, z) - y * z)
-            error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-            grad[:-1] += np.bincount(col, x * error[row], len(chosen))
-            grad[-1] += error.sum()
-        return value, grad
-
-    start = np.zeros(len(chosen) + 1)
-    start[-1] = np.log(favour * n_toxic / (n - n_toxic))
-    w = lbfgs(loss, start)
+    rows = train.mapInArrow(_training_rows(chosen, scale), "label binary, size binary, at binary, value binary")
+    # The rows of the bounded sample meet in one task of an executor: the driver's memory is for plans.
+    bias = float(np.log(favour * n_toxic / (n - n_toxic)))
+    solved = rows.repartition(1).mapInArrow(_solve(len(chosen), float(favour), bias), "weights binary")
+    w = np.frombuffer(solved.first()[0])
     weights[chosen] = w[:-1] * scale
     return weights, float(w[-1])
 
